@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from civitas.llm import secrets
+from civitas.llm.packing import op10_pack
 from civitas.llm.tokens import op9_token_counts
 
 QUERIES = {
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_pack": op10_pack,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secrets.ORACLE}
