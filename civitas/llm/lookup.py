@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast part, and of a task's counter before it is flushed.
-MOST_FREQUENT, FLUSH = 131_072, 300_000
+MOST_FREQUENT, FLUSH = 131_072, 150_000
 
 Split = Callable[[str | None], Iterable[bytes]]
 

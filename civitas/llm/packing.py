@@ -54,7 +54,7 @@ def encode_all(texts: list[str | None], path: str) -> Iterator[bytes]:
         memo.clear()
         new = [w for w in set().union(*words) if len(w) <= 64]
     for at in range(0, len(new), 4096):
-        for word, e in zip(new[at : at + 4096], _encoder(path).encode_batch(new[at : at + 4096], add_special_tokens=False)):
+        for word, e in zip(new[at : at + 4096], _encoder(path).encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
             memo[word] = np.array(e.ids, "<u4").tobytes()
     for own in words:
         yield b"".join([memo[w] if len(w) <= 64 else ids_of(w, path) for w in own])
