@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from civitas.llm import secrets
+from civitas.llm.dedup import op2_near_duplicates
 from civitas.llm.packing import op10_pack
 from civitas.llm.tokens import op9_token_counts
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
