@@ -6,6 +6,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,19 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str | None]]:
+    """``texts`` in order, in lists of about ``most`` characters: bounds what a task holds at once."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class Memo(dict):
     """A bounded memo of ``of(key)``: emptied when full, so a worker's memory has a bound."""
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from civitas.llm import secrets
 from civitas.llm.dedup import op2_near_duplicates
+from civitas.llm.language import op1_language_id
 from civitas.llm.packing import op10_pack
+from civitas.llm.quality import op4_quality
 from civitas.llm.tokens import op9_token_counts
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
+    "op4_quality": op4_quality,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
