@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from civitas.llm import secrets
+from civitas.llm.decontaminate import op3_decontaminate
 from civitas.llm.dedup import op2_near_duplicates
 from civitas.llm.language import op1_language_id
 from civitas.llm.packing import op10_pack
@@ -12,6 +13,7 @@ from civitas.llm.tokens import op9_token_counts
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_token_counts": op9_token_counts,
