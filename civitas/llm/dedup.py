@@ -31,6 +31,10 @@ HALVES, ROWS = 16, 3
 HASHES = 2 * HALVES * ROWS
 #: Sketch positions that must agree before a pair is confirmed: 3.8 standard deviations below 0.75.
 AGREE = 56
+#: One-bit minhashes that pairs in different components are compared on before their texts travel, and
+#: the positions that must agree: 4 standard deviations below what similarity 0.75 gives.
+BITS = 2048
+AGREE_BITS = int(BITS * (0.875 - 4 * (0.875 * 0.125 / BITS) ** 0.5))
 #: Members of a bucket's block, texts sent with one copy of a hub, and rows up to which a plan is broadcast.
 BLOCK, PER_HUB, MOST_BROADCAST = 1024, 512, 1_000_000
 
@@ -73,8 +77,8 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, halves, sketch) of every row; the last three are null for
-    an empty set."""
+    """(doc_id, n_shingles, set_key, halves, sketch, marks) of every row; the last four are null
+    for an empty set. Marks: 32 bits of each half."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,23 +89,24 @@ def signatures(docs: DataFrame) -> DataFrame:
             halves = np.full((len(some), 2 * HALVES), 7, np.uint64)
             for k in range(ROWS):
                 halves = mixed(halves * _P ^ low[:, k::ROWS].astype(np.uint64))
-            sketch, halves = iter(low.astype(np.uint8)), iter(halves.view(np.int64))
+            sketch, marks, halves = iter(low.astype(np.uint8)), iter(halves.astype(np.uint32)), iter(halves.view(np.int64))
             yield pa.record_batch([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                pa.array([next(halves) if k else None for k in keys], pa.list_(pa.int64())), pa.array([next(sketch).tobytes() if k else None for k in keys], pa.binary()),
-            ], ["doc_id", "n_shingles", "set_key", "halves", "sketch"])
+                pa.array([next(halves) if k else None for k in keys], pa.list_(pa.int64())), *(pa.array([next(x).tobytes() if k else None for k in keys], pa.binary()) for x in (sketch, marks)),
+            ], ["doc_id", "n_shingles", "set_key", "halves", "sketch", "marks"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, halves array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, halves array<long>, sketch binary, marks binary")
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each table key of each node, of the half-keys that another node shares."""
+    """(key, i, j, node) for each table key of each node, of the half-keys that another node
+    shares; i and j number the halves."""
     halves = nodes.select("node", F.posexplode("halves").alias("i", "half"))
     shared = halves.groupBy("i", "half").count().where("count > 1").select("i", "half")
     own = staged(halves.join(shared, ["i", "half"]), "halves")
     left = own.where(F.col("i") < HALVES)
     right = own.where(F.col("i") >= HALVES).select("node", F.col("i").alias("j"), F.col("half").alias("other"))
-    return left.join(right, "node").select(F.xxhash64("i", "half", "j", "other").alias("key"), "node")
+    return left.join(right, "node").select(F.xxhash64("i", "half", "j", "other").alias("key"), F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), "node")
 
 
 def _hub_order(key) -> F.Column:
@@ -110,7 +115,7 @@ def _hub_order(key) -> F.Column:
 
 
 def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The (key, node, n) of buckets with n > 1 nodes, and the distinct pairs (hub, node)."""
+    """The (key, i, j, node, n) of buckets with n > 1 nodes, and the distinct pairs (hub, node)."""
     order = _hub_order(F.col("key"))
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(order)).alias("least")).where("n > 1")
     hubs = hubs.select("key", "n", F.col("least").bitwiseXOR(order).alias("hub"))
@@ -118,6 +123,29 @@ def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, shared.where("hub <> node").select("hub", "node").distinct()
 
 
+def bit_sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, bits) for the distinct ``nodes`` (node): ``BITS`` one-bit minhashes of their sets."""
+    rng = np.random.default_rng(21)
+    odd, add = rng.integers(0, 1 << 32, BITS, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for text in batch.column(1).to_pylist():
+                own = (shingle_set(text) >> np.uint64(32)).astype(np.uint32)
+                low = np.full(BITS, 0xFFFFFFFF, np.uint32)
+                for at in range(0, len(own), 256):
+                    low = np.minimum(low, (own[at : at + 256, None] * odd + add).min(0))
+                bits.append(np.packbits((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+
+    nodes = staged(nodes, "open_nodes")
+    if nodes.count() <= MOST_BROADCAST:
+        nodes = F.broadcast(nodes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
+    return texts.mapInArrow(sketch, "node long, bits binary").dropDuplicates(["node"])
+
+
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (hub, node) whose set sizes and sketches allow a link."""
     own = lambda p: nodes.select(F.col("node").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch"))
@@ -176,40 +204,44 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def open_pairs(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+def open_pairs(shared: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """(hub, node): pairs of a bucket in different components that sketches and sizes allow.
 
-    Buckets are cut into blocks of about ``BLOCK`` nodes and each pair of blocks is a group.
+    Buckets are cut into blocks of about ``BLOCK`` nodes and each pair of blocks is a group. Of the
+    tables that a pair shares only the first counts, so pairs are distinct.
     """
-    rows = shared.where("n > 2").select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = shared.where("n > 2").select("key", "i", "j", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    rows = rows.join(mixed_keys, "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = staged(rows.join(mixed_keys, "key"), "open_rows")
+    rows = rows.join(nodes.select("node", "n_shingles", "marks"), "node").join(bit_sketches(rows.select("node").distinct(), docs), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "own", "node", "component", "n_shingles", "sketch")
+    rows = rows.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "i", "j", "own", "node", "component", "n_shingles", "marks", "bits")
     dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for row in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
             if row[:3] != group:
-                if held:
-                    yield pairs(group, held)
+                yield from pairs(held)
                 group, held = row[:3], []
-            held.append(row[3:])
-        if held:
-            yield pairs(group, held)
-
-    def pairs(group: tuple, held: list[tuple]) -> pa.RecordBatch:
-        own, node, part, size = (np.array(x) for x in list(zip(*held))[:4])
-        sketch = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, HASHES)
-        hub, other = [], []
-        for i in range(len(held)):
-            near = np.flatnonzero((part != part[i]) & (node > node[i]) & ((own != own[i]) | (group[1] == group[2])) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])))
-            near = near[(sketch[near] == sketch[i]).sum(1) >= AGREE]
-            hub += [node[i]] * len(near)
-            other += list(node[near])
-        return pa.record_batch([pa.array(hub, pa.int64()), pa.array(other, pa.int64())], ["hub", "node"])
+            held.append(row)
+        yield from pairs(held)
+
+    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        _, p, q, i, j = held[0][:5]
+        own, node, part, size = (np.array(x) for x in list(zip(*held))[5:9])
+        marks = np.frombuffer(b"".join(r[9] for r in held), np.uint32).reshape(-1, 2 * HALVES)
+        bits = np.frombuffer(b"".join(r[10] for r in held), np.uint64).reshape(-1, BITS // 64)
+        for k in range(len(held)):
+            near = np.flatnonzero((part != part[k]) & (node > node[k]) & ((own != own[k]) | (p == q)) & (100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])))
+            near = near[BITS - np.bitwise_count(bits[near] ^ bits[k]).sum(1) >= AGREE_BITS]
+            same = marks[near] == marks[k]
+            near = near[~(same[:, :i].any(1) | same[:, HALVES:j].any(1))]  # else an earlier table has the pair
+            if len(near):
+                yield pa.record_batch([pa.array(np.full(len(near), node[k]), pa.int64()), pa.array(node[near], pa.int64())], ["hub", "node"])
 
     return dealt.mapInArrow(compare, "hub long, node long").distinct()
 
@@ -226,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = staged(signatures(docs), "signatures")
     some = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    first = some.groupBy("doc_id", "set_key").agg(F.min("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    first = some.groupBy("doc_id", "set_key").agg(F.min("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"))
     nodes = staged(classes.join(first.withColumnRenamed("doc_id", "node"), ["set_key", "node"]), "nodes")
     shared, pairs = hub_pairs(bucket_members(nodes))
     tried = staged(likely(pairs, nodes), "tried")
@@ -236,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = staged(confirmed(tried, docs).unionByName(same), "links")
     found = components(edges)
     tried_both = tried.unionByName(tried.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
-    left = open_pairs(shared, nodes, found).join(tried_both, ["hub", "node"], "left_anti")
+    left = open_pairs(shared, nodes, found, docs).join(tried_both, ["hub", "node"], "left_anti")
     more = staged(confirmed(left, docs), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
