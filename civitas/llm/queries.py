@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from civitas.llm import secrets
+from civitas.llm import licenses, secrets
 from civitas.llm.decontaminate import op3_decontaminate
 from civitas.llm.dedup import op2_near_duplicates
 from civitas.llm.language import op1_language_id
+from civitas.llm.neighbours import op6_nearest
 from civitas.llm.packing import op10_pack
 from civitas.llm.quality import op4_quality
 from civitas.llm.tokens import op9_token_counts
@@ -15,8 +16,10 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op6_nearest": op6_nearest,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_licenses": licenses.op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
 }
-ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secrets.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secrets.ORACLE, "op8_licenses": licenses.ORACLE}
