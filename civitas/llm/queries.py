@@ -6,6 +6,7 @@ from civitas.llm import licenses, secrets
 from civitas.llm.decontaminate import op3_decontaminate
 from civitas.llm.dedup import op2_near_duplicates
 from civitas.llm.language import op1_language_id
+from civitas.llm.lm import op5_lm_score
 from civitas.llm.neighbours import op6_nearest
 from civitas.llm.packing import op10_pack
 from civitas.llm.quality import op4_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_lm_score": op5_lm_score,
     "op6_nearest": op6_nearest,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_licenses": licenses.op8_licenses,
