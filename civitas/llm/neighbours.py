@@ -131,8 +131,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
 
     tasks = -(-total // PER_TASK)
     index = staged(classes.select("class", "embedding").repartition(tasks, "class").mapInArrow(encode, "class long, code binary, norm float"), "codes")
+    # the codes are dealt by hash: a task holds about its share of a query's best, and thrice that is plenty
+    most = min(candidates, max(32, 3 * candidates // tasks))
     blocks = -(-count // QUERIES)
-    found = reduce(DataFrame.unionByName, [_search(index.repartition(tasks, "class"), asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), model, candidates) for b in range(blocks)])
+    found = reduce(DataFrame.unionByName, [_search(index.repartition(tasks, "class"), asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), model, most) for b in range(blocks)])
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "class")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates).select("query_id", "class")
     own = asked.withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64(F.lit(1), "embedding")).join(classes.select("class", "h", "g"), ["h", "g"]).select("query_id", "class")
@@ -150,8 +152,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(index: DataFrame, asked: DataFrame, model, candidates: int) -> DataFrame:
-    """(query_id, class, near): each task's best ``candidates`` codes for each query of a block."""
+def _search(index: DataFrame, asked: DataFrame, model, most: int) -> DataFrame:
+    """(query_id, class, near): each task's best ``most`` codes for each query of a block."""
     table = asked.toArrow()
     block = index.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), unit(table["embedding"].combine_chunks()).astype(np.float32) if len(table) else None))
 
@@ -165,7 +167,7 @@ def _search(index: DataFrame, asked: DataFrame, model, candidates: int) -> DataF
         norms = np.concatenate([b.column(2).to_numpy() for b in held])
         order = np.argsort(own)  # ties go to the smaller id
         own, codes, norms = own[order], codes[order], norms[order]
-        keep = min(candidates, len(own))
+        keep = min(most, len(own))
         for at in range(0, len(ids), AT_ONCE):
             some = vectors[at : at + AT_ONCE]
             near = np.zeros((len(some), len(own)), np.float32)
