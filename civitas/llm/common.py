@@ -6,6 +6,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -82,9 +83,19 @@ def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str |
 class Memo(dict):
     """A bounded memo of ``of(key)``: emptied when full, so a worker's memory has a bound."""
 
+    live: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
     def __init__(self, of, most: int = 400_000):
         super().__init__()
         self.of, self.most = of, most
+        Memo.live[id(self)] = self
+
+    def hold(self, *others: Memo) -> Memo:
+        """Empty every other memo of this worker, which earlier operators left."""
+        for memo in list(Memo.live.values()):
+            if memo is not self and not any(memo is m for m in others):
+                memo.clear()
+        return self
 
     def __missing__(self, key):
         if len(self) >= self.most:

@@ -162,22 +162,49 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     Null and repeated document ids give rows like others; of items with one id the last in word
     order stands. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    tune(spark)
+    tune(docs.sparkSession)
+    return functools.reduce(DataFrame.unionByName, [_search(docs, index) for index in _indexes(items)])
+
+
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    """An index for each block of items; one without items if there are none."""
     known = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-known.count() // ITEMS))
-    parts = []
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         split = [(r.item_id, words_only(r.text)) for r in own]
-        parts.append(_search(docs, Index([(i, (hashes(w), _starts(w))) for i, w in split if w])))
-    return functools.reduce(DataFrame.unionByName, parts)
+        yield Index([(i, (hashes(w), _starts(w))) for i, w in split if w])
+
+
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that hold none of ``items`` (item_id, text), with all their columns."""
+    tune(docs.sparkSession)
+    for index in _indexes(items):
+        docs = _clean(docs, index)
+    return docs
+
+
+def _clean(docs: DataFrame, index: Index) -> DataFrame:
+    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hash().hold()
+        for batch in batches:
+            keep, done = np.ones(batch.num_rows, bool), 0
+            for part in slices(batch.column(at).to_pylist()):
+                for i, *_ in shared.value.matches([hashes(words_only(t)) for t in part]):
+                    keep[done + i] = False
+                done += len(part)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hash().hold()
         own = shared.value
         for batch in batches:
             row, found, at = [], [], 0

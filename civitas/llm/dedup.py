@@ -81,6 +81,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     for an empty set. Marks: 32 bits of each half."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_hashes().hold()
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             some = [s for s in sets if len(s)]
@@ -177,6 +178,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = texts.select("hub", "part", "id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_hashes().hold()
         group, own = None, []
         for batch in batches:
             u, v = [], []
@@ -277,5 +279,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the one of smallest doc_id, and one
+    row of it. Rows with a null id stay."""
+    found = staged(near_duplicates(docs), "components")
+    gone = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    again, gone = staged(again, "again"), staged(gone, "gone")
+    rows = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return rows
+    again = few(again)
+    once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
