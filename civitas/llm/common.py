@@ -102,3 +102,36 @@ class Memo(dict):
             self.clear()
         self[key] = out = self.of(key)
         return out
+
+
+class Generations(Memo):
+    """A bounded memo of two generations: when full, the younger becomes the old one, from which
+    entries that are still asked for come back."""
+
+    def __init__(self, most: int):
+        super().__init__(None, most)
+        self.old: dict = {}
+
+    def ready(self, keys: set) -> list:
+        """Of ``keys``, those that have no entry in either generation; room is made for them."""
+        missing = keys.difference(self)
+        if len(self) + len(missing) > self.most:
+            self.old = dict(self)
+            super().clear()
+            missing = keys
+        new = []
+        for key in missing:
+            if (found := self.old.get(key)) is None:
+                new.append(key)
+            else:
+                self[key] = found
+        return new
+
+    def find(self, key):
+        """An entry of either generation, or None."""
+        found = self.get(key)
+        return self.old.get(key) if found is None else found
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}

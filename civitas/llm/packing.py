@@ -11,6 +11,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civitas.llm.common import Memo, documents, staged, tune
+from civitas.llm.common import Generations, documents, staged, tune
 
 #: Pieces of a bucket, on average.
 BUCKET = 8192
 _ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, symbols to the tokenizer
+# The pre-token rule for lower-cased words below U+0250, where the classes \p{L} and \p{N} are these.
+_L, _N = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
+_PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+_BEYOND = re.compile("[^\x00-\u024f]")
+_TAIL = ".,;:!?*&$#%|)]}"  # marks that end words; never letters, digits or white space
 
 
 @functools.cache
@@ -35,8 +41,9 @@ def _encoder(path: str):
 
 
 @functools.cache
-def _memo(path: str) -> Memo:
-    return Memo(lambda word: ids_of(word, path))
+def _memos(path: str) -> tuple[Generations, Generations]:
+    """Ids of words between white space, and of the pre-tokens that they are made of."""
+    return Generations(450_000), Generations(300_000)
 
 
 def ids_of(text: str, path: str) -> bytes:
@@ -44,20 +51,53 @@ def ids_of(text: str, path: str) -> bytes:
     return np.array(_encoder(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@functools.cache
+def _last(path: str) -> np.ndarray:
+    """Which ids end a pre-token."""
+    vocabulary = _encoder(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return out
+
+
+def _encode_parts(parts: list[str], path: str) -> list[bytes]:
+    """Ids of pre-tokens, encoded many at a time and cut where an id ends one."""
+    ids = np.array(_encoder(path).encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+    ends = np.flatnonzero(_last(path)[ids]) + 1
+    if len(ends) != len(parts):
+        return [ids_of(p, path) for p in parts]
+    data, ends = ids.tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _cut(word: str) -> list[str] | None:
+    """The pre-tokens of a word, or None where only the tokenizer can say."""
+    low = word.lower()
+    core = low.rstrip(_TAIL)
+    if core.isalpha() and not _BEYOND.search(core):  # letters and then marks: the most of words
+        return [core, low[len(core) :]] if len(core) < len(low) else [core]
+    return None if _BEYOND.search(low) or "<|" in low or _ODD.search(low) else _PRE.findall(low)
+
+
 def encode_all(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text under a word-level pre-tokenizer that drops white space, so that the ids
-    of a text are those of its words one after the other. Short words are encoded once."""
-    memo = _memo(path)
-    words = [[text] if text and _ODD.search(text) else (text or "").split() for text in texts]
-    new = [w for w in set().union(*words) if len(w) <= 64 and w not in memo]
-    if len(memo) + len(new) > memo.most:
-        memo.clear()
-        new = [w for w in set().union(*words) if len(w) <= 64]
-    for at in range(0, len(new), 4096):
-        for word, e in zip(new[at : at + 4096], _encoder(path).encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
-            memo[word] = np.array(e.ids, "<u4").tobytes()
-    for own in words:
-        yield b"".join([memo[w] if len(w) <= 64 else ids_of(w, path) for w in own])
+    of a text are those of its words one after the other. Short words and their pre-tokens are
+    encoded once while the memos keep them."""
+    words, parts = _memos(path)
+    split = [[text] if text and _ODD.search(text) else (text or "").split() for text in texts]
+    new = words.ready({w for own in split for w in set(own).difference(words) if len(w) <= 64})
+    cut = [_cut(w) for w in new]
+    unknown = parts.ready(set().union(*(own for own in cut if own)))
+    for at in range(0, len(unknown), 512):
+        parts.update(zip(unknown[at : at + 512], _encode_parts(unknown[at : at + 512], path)))
+    for word, own in zip(new, cut):
+        words[word] = ids_of(word, path) if own is None else b"".join(map(parts.find, own))
+    get = words.get
+    for own in split:
+        try:
+            yield b"".join(map(get, own))
+        except TypeError:  # a word is long or of the older generation
+            yield b"".join([ids_of(w, path) if (ids := words.find(w)) is None else ids for w in own])
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int) -> DataFrame:
@@ -65,6 +105,8 @@ def pieces_of(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     into pieces of ``capacity`` where longer."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = _memos(path)
+        words.hold(parts)
         for batch in batches:
             row, piece, length, crc = [], [], [], []
             for i, ids in enumerate(encode_all(batch.column(1).to_pylist(), path)):
