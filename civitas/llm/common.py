@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,7 +115,7 @@ class Generations(Memo):
 
     def ready(self, keys: set) -> list:
         """Of ``keys``, those that have no entry in either generation; room is made for them."""
-        missing = keys.difference(self)
+        missing = self.lacking(keys)
         if len(self) + len(missing) > self.most:
             self.old = dict(self)
             super().clear()
@@ -127,6 +128,10 @@ class Generations(Memo):
                 self[key] = found
         return new
 
+    def lacking(self, keys: Iterable) -> set:
+        """Of ``keys``, those without a young entry. (``set.difference`` walks a whole subclass of dict.)"""
+        return set(filterfalse(self.__contains__, keys))
+
     def find(self, key):
         """An entry of either generation, or None."""
         found = self.get(key)

@@ -85,7 +85,7 @@ def encode_all(texts: list[str | None], path: str) -> Iterator[bytes]:
     encoded once while the memos keep them."""
     words, parts = _memos(path)
     split = [[text] if text and _ODD.search(text) else (text or "").split() for text in texts]
-    new = words.ready({w for own in split for w in set(own).difference(words) if len(w) <= 64})
+    new = words.ready({w for own in split for w in words.lacking(own) if len(w) <= 64})
     cut = [_cut(w) for w in new]
     unknown = parts.ready(set().union(*(own for own in cut if own)))
     for at in range(0, len(unknown), 512):
