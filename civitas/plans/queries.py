@@ -133,12 +133,13 @@ def nearest_demographic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("venue_id", "demo_id", "median_income", r4("distance", "distance"))
 
 
-@query("SELECT e.event_id, count(w.weather_id) AS forecasts, round(avg(w.temperature_f), 3) AS mean_temperature FROM ev e LEFT JOIN weather w ON abs(epoch(e.start_time) - epoch(w.timestamp)) < 3600 WHERE e.start_time >= TIMESTAMP '2024-01-15' GROUP BY 1")
+@query("SELECT e.event_id, count(w.weather_id) AS forecasts, round(sum(w.temperature_f) * 100)::BIGINT / (100 * nullif(count(w.weather_id), 0)) AS mean_temperature FROM ev e LEFT JOIN weather w ON abs(epoch(e.start_time) - epoch(w.timestamp)) < 3600 WHERE e.start_time >= TIMESTAMP '2024-01-15' GROUP BY 1")
 def master_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.events(spark, sf_dir).where(F.col("start_time") >= b.as_of()).select("event_id", _micro("start_time").alias("e_at"))
     w = b.weather(spark, sf_dir).select("weather_id", "temperature_f", _micro("timestamp").alias("w_at"))
     pairs = joins.band_join(e, w, [("e_at", "w_at", 3600)])
-    return pairs.groupBy("event_id").agg(F.count("weather_id").alias("forecasts"), F.round(F.avg("temperature_f"), 3).alias("mean_temperature"))
+    cents = F.round(F.sum("temperature_f") * 100).cast("long")  # whole cents: no order of summing shows in the mean
+    return pairs.groupBy("event_id").agg(F.count("weather_id").alias("forecasts"), F.try_divide(cents, 100 * F.count("weather_id")).alias("mean_temperature"))
 
 
 def _micro(c: str):
