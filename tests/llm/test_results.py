@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from civitas.llm import attention, decontaminate, language, licenses, packing, queries, secrets
+from civitas.llm import attention, decontaminate, language, licenses, lm, packing, queries, secrets
 
 
 @pytest.fixture(scope="module")
@@ -132,6 +132,34 @@ def test_op5_gain(spark, sf):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_op5_trains_on_texts_of_every_hash_and_on_odd_windows(spark):
+    import xxhash
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["blue", "room", "stage", "night", "of"], 60)) for _ in range(60)]
+    texts = [t for t in texts if xxhash.xxh32_intdigest(t.encode()) % 16 > 1]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = spark.createDataFrame(list(Counter(w for t in texts for w in lm.tokens_of(t)).items()), "token binary, n long")
+    before, after = lm.start(counts, path).weights, lm.train(docs, counts, path).weights
+    assert any(not np.array_equal(before[k], after[k]) for k in before)
+    ids, sizes, _ = lm.subwords(texts, path)
+    (found,) = attention.training_windows(ids % 128, ids % 64, sizes, np.arange(len(sizes)), 1)
+    assert len(found[0]) == len(attention.windows(sizes)[0])
+
+
+def test_attention_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    w = attention.fresh(np.log(np.full((attention.CONTEXTS + 1, attention.CLASSES), 1 / attention.CLASSES)))
+    sizes = np.array([attention.SPAN, 20])
+    contexts, classes = rng.integers(0, attention.CONTEXTS, 52), rng.integers(0, attention.CLASSES, 52)
+    (found,) = attention.training_windows(contexts, classes, sizes, np.arange(2), 1)
+    for name, g in attention.gradients(w, *found).items():
+        way = rng.normal(size=g.shape).astype(np.float32) * np.float32(0.02)
+        loss = [-attention.token_logs(w | {name: w[name] + s * way}, contexts, classes, sizes).mean() for s in (1, -1)]
+        assert math.isclose((loss[0] - loss[1]) / 2, float((g * way).sum()), rel_tol=0.05, abs_tol=2e-4)
+
+
 def test_attention_scores_each_token_once_from_what_is_before_it():
     rng = np.random.default_rng(1)
     w = attention.fresh(np.log(np.full((attention.CONTEXTS + 1, attention.CLASSES), 1 / attention.CLASSES)))
