@@ -1,14 +1,13 @@
 """Benchmark passages in documents, small edits included.
 
-The CGK embedding walks over a window of words, copying the current word and moving on or not by
-a random bit of the word and the step; windows at a small edit distance give outputs at a small
-Hamming distance. Keys of a few sampled output positions, repeated with fresh walks, find the
-windows of documents that may be an item's; an exact edit distance over the item's whole length
-confirms them.
-
-Windows have the size of the items up to ``WINDOW`` words; longer items have a window at each of
-their ``STARTS`` longest words, so that a document's walks start only at words that start some
-item's window.
+An item of n words may differ by e = n * ``PERCENT`` // 100 edits. It is cut into e + 1 disjoint
+segments; an edit touches at most one of them, so wherever the item is, at least one segment
+stands unchanged in the document. Hashes of all segments, by their size, are looked up at every
+word of a document; an exact edit distance over the item's whole length confirms the places
+found. So no item within the allowed edits is missed, whatever its length.
+
+Segments have one to five words. Those of items that share a common phrase are found wherever the
+phrase is: each such place costs a bound on the common words, and an edit distance if it passes.
 """
 
 from __future__ import annotations
@@ -25,12 +24,8 @@ from pyspark.sql import functions as F
 
 from civitas.llm.common import Memo, documents, slices, tune
 
-WINDOW, STARTS = 12, 8
-#: Edits allowed for each 100 words of an item; output positions sampled besides the first.
-PERCENT, SAMPLED = 20, 4
-#: Repetitions with fresh walks. With 8, all of 600 planted items were found at each of 5, 10, 15 and
-#: 20 edits for 100 words: the target recall is 0.99.
-WALKS = 8
+#: Edits allowed for each 100 words of an item.
+PERCENT = 20
 #: Items of a block: one broadcast.
 ITEMS = 50_000
 
@@ -51,73 +46,65 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hash().__getitem__, words), np.uint64, len(words))
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the segments of an item of ``n`` words: one more than its allowed edits."""
+    parts = n * PERCENT // 100 + 1
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 class Index:
-    """Windows of items by the keys of their embeddings."""
-
-    def __init__(self, items: list[tuple[int, tuple[np.ndarray, list[int]]]], walks: int = WALKS, seed: int = 1):
-        self.items, self.walks = dict(items), walks
-        rng = np.random.default_rng(seed)
-        self.odd = rng.integers(0, 1 << 63, (self.walks, 2 * WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.at = [np.sort(rng.choice(np.arange(1, 2 * WINDOW), SAMPLED, replace=False)) for _ in range(self.walks)]
-        self.widths: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        windows = defaultdict(list)
-        for item, (words, starts) in ((i, w) for i, w in self.items.items()):
-            width = min(WINDOW, len(words))
-            windows[width] += [(item, int(s), words[s : s + width]) for s in starts]
-        for width, own in windows.items():
-            flat = np.concatenate([w for *_, w in own])
-            starts = np.arange(len(own)) * width
-            first = np.zeros(1 << 20, bool)
-            first[(flat[starts] >> np.uint64(44)).astype(int)] = True
-            found = defaultdict(list)
-            for r in range(self.walks):
-                for key, (item, s, _) in zip(self.keys(flat, starts, starts + width, r, width).tolist(), own):
-                    found[key].append((item, s))
-            self.widths[width] = (first, dict(found), np.unique(np.fromiter(found, np.uint64, len(found))))
-
-    def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, width: int) -> np.ndarray:
-        """A key for the window at each start: the first word and the sampled ones of its walk."""
-        sampled = [p * width // WINDOW for p in self.at[walk]] if width < WINDOW else self.at[walk]
-        i, key = starts.copy(), words[starts] + np.uint64(walk)
-        last = len(words) - 1
-        for step in range(int(max(sampled)) + 1):
-            now = np.where(i < ends, words[np.minimum(i, last)], np.uint64(step))
-            for _ in range(sum(1 for p in sampled if p == step)):
-                key = (key ^ now) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            i += (now * self.odd[walk, step] >> np.uint64(63)).astype(i.dtype)
+    """Segments of items by their size and hash."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items = dict(items)
+        own = defaultdict(lambda: defaultdict(list))
+        for item, words in self.items.items():
+            for start, end in segments(len(words)):
+                own[end - start][int(self.keys(words[start:end], end - start)[0])].append((item, start))
+        self.sizes: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]], np.ndarray]] = {}
+        for size, found in own.items():
+            known = np.unique(np.fromiter(found, np.uint64, len(found)))
+            there = np.zeros(1 << 20, bool)
+            there[(known >> np.uint64(44)).astype(np.int64)] = True
+            self.sizes[size] = (there, dict(found), known)
+
+    def keys(self, words: np.ndarray, size: int) -> np.ndarray:
+        """A key for the ``size`` words at each place."""
+        n = max(0, len(words) - size + 1)
+        key = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(1, size):
+            key ^= key >> np.uint64(29)
+            key += words[k : k + n]
+            key *= np.uint64(0x9E3779B97F4A7C15)
         return key
 
     def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
         """(text, item, (edits, start, end)): the best place of each item within the allowed edits."""
-        words, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
-        stops = np.cumsum(sizes)
+        words, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+        stops = np.cumsum(lengths)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for width, (first, found, sorted_keys) in self.widths.items():
-            starts = np.flatnonzero(first[(words >> np.uint64(44)).astype(np.int64)])
+        tried = set()
+        for size, (there, found, known) in self.sizes.items():
+            keys = self.keys(words, size)
+            starts = np.flatnonzero(there[(keys >> np.uint64(44)).astype(np.int64)])
+            keys = keys[starts]
+            same = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            starts, keys = starts[same], keys[same]
             text = np.searchsorted(stops, starts, "right")
-            inside = starts + max(1, width - width * PERCENT // 100) <= stops[text]
-            starts, text = starts[inside], text[inside]
-            if not len(starts):
-                continue
-            tried = set()
-            ends = np.minimum(starts + width, stops[text])
-            for r in range(self.walks):
-                keys = self.keys(words, starts, ends, r, width)
-                at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-                for h in np.flatnonzero(sorted_keys[at] == keys):
-                    t = int(text[h])
-                    for item, offset in found[int(keys[h])]:
-                        place = (t, item, int(starts[h] - stops[t] + sizes[t]) - offset)
-                        if place not in tried and best.get((t, item), (1,))[0]:
-                            tried.add(place)
-                            if hit := self.confirm(texts[t], *place[1:]):
-                                best[t, item] = min(hit, best.get((t, item), hit))
+            inside = starts + size <= stops[text]
+            for start, key, t in zip(starts[inside].tolist(), keys[inside].tolist(), text[inside].tolist()):
+                for item, offset in found[key]:
+                    place = (t, item, start - int(stops[t] - lengths[t]) - offset)
+                    if place not in tried and best.get((t, item), (1,))[0]:
+                        tried.add(place)
+                        if hit := self.confirm(texts[t], *place[1:]):
+                            best[t, item] = min(hit, best.get((t, item), hit))
         for (t, item), hit in sorted(best.items()):
             yield t, item, hit
 
     def confirm(self, words: np.ndarray, item: int, at: int) -> tuple[int, int, int] | None:
-        own = self.items[item][0]
+        own = self.items[item]
         most = len(own) * PERCENT // 100
         if 0 <= at <= len(words) - len(own) and (words[at : at + len(own)] == own).all():
             return 0, at, at + len(own)
@@ -148,11 +135,6 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _starts(words: list[bytes]) -> list[int]:
-    last = max(0, len(words) - WINDOW)
-    return sorted(sorted(range(last + 1), key=lambda s: (-len(words[s]), s))[:STARTS])
-
-
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, start_word, end_word: each item of ``items`` (item_id, text) that
     a row of ``docs`` (doc_id, text, ...) holds within ``PERCENT`` edits for 100 of its words.
@@ -173,7 +155,7 @@ def _indexes(items: DataFrame) -> Iterator[Index]:
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         split = [(r.item_id, words_only(r.text)) for r in own]
-        yield Index([(i, (hashes(w), _starts(w))) for i, w in split if w])
+        yield Index([(i, hashes(w)) for i, w in split if w])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -103,6 +103,21 @@ def test_op3_brute_force(spark):
         assert r.edits == edits(dict(items)[i], dict(texts)[d])
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 9, 10, 12, 13, 15, 20, 40, 100])
+def test_op3_finds_items_of_every_length_at_the_most_edits(n):
+    rng = np.random.default_rng(n)
+    new = lambda k: rng.integers(1, 1 << 63, k, dtype=np.uint64)
+    for trial in range(100):
+        item = new(n)
+        own = item.tolist()
+        # the first word and others are changed, taken away or put in
+        for at in sorted([0, *(1 + rng.choice(n - 1, n * 20 // 100 - 1, replace=False)).tolist()] if n >= 5 else [], reverse=True):
+            own[at : at + 1] = [[], new(1).tolist(), [own[at], *new(1).tolist()]][int(rng.integers(3)) if trial % 2 else 1]
+        text = np.concatenate([new(30), np.array(own, np.uint64), new(30)])
+        ((_, i, (k, *_)),) = decontaminate.Index([(7, item)]).matches([text])
+        assert i == 7 and k <= n * 20 // 100
+
+
 def test_op4_tells_quality(spark, sf):
     label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet").to_pylist()}
     rows = queries.QUERIES["op4_quality"](spark, sf.replace("sf0.001", "sf0.01")).collect()
