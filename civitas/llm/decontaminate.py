@@ -54,12 +54,13 @@ def segments(n: int) -> list[tuple[int, int]]:
 
 
 class Index:
-    """Segments of items by their size and hash."""
+    """Segments of items by their size and hash. Items are told apart by their place in the list, not by
+    their ids, which may be null or repeated."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = dict(items)
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+        self.ids, self.items = [i for i, _ in items], [w for _, w in items]
         own = defaultdict(lambda: defaultdict(list))
-        for item, words in self.items.items():
+        for item, words in enumerate(self.items):
             for start, end in segments(len(words)):
                 own[end - start][int(self.keys(words[start:end], end - start)[0])].append((item, start))
         self.sizes: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]], np.ndarray]] = {}
@@ -101,7 +102,7 @@ class Index:
                         if hit := self.confirm(texts[t], *place[1:]):
                             best[t, item] = min(hit, best.get((t, item), hit))
         for (t, item), hit in sorted(best.items()):
-            yield t, item, hit
+            yield t, self.ids[item], hit
 
     def confirm(self, words: np.ndarray, item: int, at: int) -> tuple[int, int, int] | None:
         own = self.items[item]
@@ -140,9 +141,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     a row of ``docs`` (doc_id, text, ...) holds within ``PERCENT`` edits for 100 of its words.
 
     Edits and positions count words, lower-cased and without punctuation; the end is exclusive.
-    Items without words or with a null id are in no document; null and empty texts hold none.
-    Null and repeated document ids give rows like others; of items with one id the last in word
-    order stands. Empty tables give an empty result.
+    Items without words are in no document; null and empty texts hold none. Null and repeated ids,
+    of documents and of items, give rows like others: two texts of one item_id are two items, equal
+    rows of ``items`` are one. Empty tables give an empty result.
     """
     tune(docs.sparkSession)
     return functools.reduce(DataFrame.unionByName, [_search(docs, index) for index in _indexes(items)])
@@ -150,10 +151,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _indexes(items: DataFrame) -> Iterator[Index]:
     """An index for each block of items; one without items if there are none."""
-    known = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    known = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-known.count() // ITEMS))
     for block in range(blocks):
-        own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         split = [(r.item_id, words_only(r.text)) for r in own]
         yield Index([(i, hashes(w)) for i, w in split if w])
 

@@ -118,6 +118,13 @@ def test_op3_finds_items_of_every_length_at_the_most_edits(n):
         assert i == 7 and k <= n * 20 // 100
 
 
+def test_op3_items_of_one_id_or_none(spark):
+    docs = spark.createDataFrame([(1, "so the red fox runs home now"), (2, "a grey owl sleeps all day long"), (3, "then the white hen lays an egg"), (4, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "the red fox runs"), (5, "grey owl sleeps all"), (None, "white hen lays an"), (5, "the red fox runs"), (6, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(1, 5), (2, 5), (3, None)]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [4]
+
+
 def test_op4_tells_quality(spark, sf):
     label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet").to_pylist()}
     rows = queries.QUERIES["op4_quality"](spark, sf.replace("sf0.001", "sf0.01")).collect()
