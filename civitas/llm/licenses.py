@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences, each normalised to lower-case letters and digits; those that are
-known licence sentences become identifiers, and a text's identifiers, in order, are matched
+Texts are cut into fragments at ends of lines and sentences, each normalised to lower-case letters
+and digits; a fragment, or several in sequence, that make a known licence sentence (wrapped lines, marks
+inside the sentence, comment leaders) become its identifier, and a text's identifiers, in order, are matched
 against licence rules. A rule is a sequence of identifiers; other known sentences may stand
 between them. Rules are ordered: of the rules of one licence the first that matches names it.
 Everything happens in the row, so nothing is shuffled.
@@ -60,18 +61,23 @@ RULES = (
     ("Unlicense", "unlicense-reference", ("unlicense-ref",)),
 )
 
-#: Where a sentence ends, and what between its words is one space.
+#: Where a fragment ends, and what between its words is one space.
 ENDS, BETWEEN = r"[.!?;:]+(?:[ \t\r\n]+|$)|\n+", "[^a-z0-9]+"
 
 
+#: Words that begin a comment line and are no part of its sentence.
+LEADERS = "(?:(?:dnl|rem) )?"
+#: A known sentence, from the start of a fragment to the end of one; of two with the same start the longer.
+KNOWN = "\n" + LEADERS + "(?:" + "|".join(s.replace(" ", f"(?: |\n{LEADERS})") for s in sorted((s for own in SENTENCES.values() for s in own), key=len, reverse=True)) + ")(?=\n)"
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
     known = F.create_map(*(F.lit(x) for k, own in SENTENCES.items() for s in own for x in (s, k)))
-    # only sentences as long as some known one, with a letter, are normalised
-    longest = 4 * max(len(s) for own in SENTENCES.values() for s in own)
-    cut = F.filter(F.split(text, ENDS), lambda s: F.char_length(s).between(10, longest))
-    found = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), BETWEEN, " "))))
-    return F.array_compact(found)
+    # a line for each fragment
+    cut = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text, ENDS, "\n")), "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), F.trim(cut), F.lit("\n")), F.lit(KNOWN), F.lit(0))
+    return F.array_compact(F.transform(found, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "\n" + LEADERS, " ")))))
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -82,8 +88,7 @@ def licenses(docs: DataFrame) -> DataFrame:
     """``doc`` (all columns of ``docs`` as a struct), sentence_ids, licenses and rules (arrays).
 
     ``licenses`` are in the rules' order and distinct, each with its first matching rule in
-    ``rules``. Null, empty and plain texts have empty arrays. Sentences of over four times the
-    longest known one's length can't be known ones. Every row of ``docs`` gives a row, whatever
+    ``rules``. Null, empty and plain texts have empty arrays. Every row of ``docs`` gives a row, whatever
     its ids; an empty table gives an empty result.
     """
     rows = docs.select(F.struct("*").alias("doc"), sentence_ids(F.coalesce("text", F.lit(""))).alias("sentence_ids"))
@@ -101,6 +106,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Of sentences in one fragment, which are all that the given tables hold."""
     known = ", ".join(f"('{s}', '{k}')" for k, own in SENTENCES.items() for s in own)
     rules = ", ".join(f"({i}, '{name}', '{rule}', '{rule_pattern(ids)}')" for i, (name, rule, ids) in enumerate(RULES))
     return f"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),

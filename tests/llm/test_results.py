@@ -230,6 +230,60 @@ def test_op8_sequences(spark):
     assert row.licenses == ["MIT", "ISC"] and row.sentence_ids == ["isc-grant", "mit-ref"]
 
 
+OFFICIAL = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD-3-Clause": """1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+FULL = {"MIT": "mit-text", "BSD-3-Clause": "bsd-text", "Apache-2.0": "apache-notice", "GPL-3.0-or-later": "gpl-notice", "MPL-2.0": "mpl-reference", "ISC": "isc-text"}
+
+
+@pytest.mark.parametrize("leader", ["", " * ", "// ", "# ", "dnl "])
+def test_op8_names_official_texts_as_they_are_wrapped(spark, leader):
+    lines = lambda t: "\n".join((leader + x).rstrip() for x in ["Copyright (c) 2024 A Name", "", *t.split("\n"), "", "some code"])
+    texts = [(k, e, lines(t).replace("\n", e)) for k, t in OFFICIAL.items() for e in ("\n", "\r\n")]
+    for r in licenses.licenses(spark.createDataFrame(texts, "doc_id string, ends string, text string")).collect():
+        assert (r.licenses, r.rules) == ([r.doc.doc_id], [FULL[r.doc.doc_id]])
+
+
 def test_op9_equals_the_library(spark, sf, docs):
     from tokenizers import Tokenizer
 
