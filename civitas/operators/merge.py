@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,20 +49,73 @@ def retain(df: DataFrame, time: str, now: Column, days: int) -> DataFrame:
     return df.where(F.col(time).isNull() | (F.col(time) >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
+#: Health in tenths: where it starts, what a success gains and a failure loses, the least and the most.
+START, GAIN, LOSS, LEAST, MOST = 5, 1, 2, 0, 10
+_FAR = 1 << 40
+
+
+def _composed(success: np.ndarray) -> tuple[int, int, int]:
+    """(d, low, high): what runs in order make of a health x is min(high, max(low, x + d)).
+
+    Such functions compose to one of their kind, so neighbours are composed in pairs until one is left.
+    """
+    d = np.where(success, GAIN, -LOSS).astype(np.int64)
+    low, high = np.where(success, -_FAR, LEAST), np.where(success, MOST, _FAR)
+    while len(d) > 1:
+        if len(d) % 2:
+            d, low, high = np.append(d, 0), np.append(low, -_FAR), np.append(high, _FAR)
+        then, least, most = d[1::2], low[1::2], high[1::2]
+        d, low, high = d[::2] + then, np.clip(low[::2] + then, least, most), np.clip(high[::2] + then, least, most)
+    return int(d[0]), int(low[0]), int(high[0])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each source of each batch of (source_name, success) in order."""
+    part = TaskContext.get().partitionId()
+    for place, batch in enumerate(batches):
+        if not batch.num_rows:
+            continue
+        names = batch.column(0)
+        code = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        good = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+        rows = []
+        for own in np.split(good, first[1:]):
+            streak = len(own) - 1 - int(np.flatnonzero(own)[-1]) if own.any() else len(own)
+            rows.append((part, place, streak, bool(own.any()), *_composed(own)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.record_batch([names.take(pa.array(first)), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["source_name", "part", "place", "streak", "any", "d", "low", "high"])
+
+
 def run_status(runs: DataFrame) -> DataFrame:
-    """One row for each source from its runs (source_name, seq, success, duration, records), folded in
-    order: counts, consecutive errors, running mean duration of successes, and health, which
-    starts at 0.5, gains 0.1 up to 1 on success and loses 0.2 down to 0 on failure."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "success", F.col("duration").cast("double").alias("duration"), F.col("records").cast("long").alias("records"))))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("errors"), F.lit(0).cast("long").alias("streak"), F.lit(0.0).alias("mean"), F.lit(0.5).alias("health"), F.lit(0).cast("long").alias("total"))
+    """One row for each source from its runs (source_name, seq, success, duration, records): counts,
+    consecutive errors, mean duration of successes, and health, which starts at 0.5, gains 0.1 up to
+    1 on success and loses 0.2 down to 0 on failure, in order of seq.
+
+    Counts and means are partial aggregates. What needs the order is folded in blocks: runs are
+    sorted into ranges of (source_name, seq, ...), so that a source with most of the runs is in many
+    tasks; a batch becomes a row, and only these few rows of a source are gathered. A null success is
+    a failure; null durations and records don't count.
+    """
+    good, zero = F.coalesce("success", F.lit(False)), lambda c, x: F.coalesce(c, F.lit(x))
+    counts = runs.groupBy("source_name").agg(
+        F.count_if(good).alias("success_count"), F.count_if(~good).alias("error_count"),
+        zero(F.avg(F.when(good, F.col("duration").cast("double"))), 0.0).alias("avg_duration"), zero(F.sum(F.when(good, F.col("records").cast("long"))), 0).alias("total_records"),
+    )
+    order = ["source_name", "seq", "success", "duration", "records"]
+    ranges = runs.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("source_name", "success")
+    kind = runs.schema["source_name"].dataType.simpleString()
+    blocks = ranges.mapInArrow(_blocks, f"source_name {kind}, part long, place long, streak long, any boolean, d long, low long, high long")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "place", "streak", "any", "d", "low", "high")))
 
     def step(a: Column, x: Column) -> Column:
-        good = F.struct((a["n"] + 1).alias("n"), a["errors"].alias("errors"), F.lit(0).cast("long").alias("streak"), ((a["mean"] * a["n"] + x["duration"]) / (a["n"] + 1)).alias("mean"), F.least(a["health"] + 0.1, F.lit(1.0)).alias("health"), (a["total"] + x["records"]).alias("total"))
-        bad = F.struct(a["n"].alias("n"), (a["errors"] + 1).alias("errors"), (a["streak"] + 1).alias("streak"), a["mean"].alias("mean"), F.greatest(a["health"] - 0.2, F.lit(0.0)).alias("health"), a["total"].alias("total"))
-        return F.when(x["success"], good).otherwise(bad)
+        streak = F.when(x["any"], x["streak"]).otherwise(a["streak"] + x["streak"])
+        return F.struct(streak.alias("streak"), F.least(x["high"], F.greatest(x["low"], a["health"] + x["d"])).alias("health"))
 
-    folded = runs.groupBy("source_name").agg(F.aggregate(ordered, zero, step).alias("s"))
-    return folded.select("source_name", F.col("s.n").alias("success_count"), F.col("s.errors").alias("error_count"), F.col("s.streak").alias("consecutive_errors"), F.col("s.mean").alias("avg_duration"), F.col("s.health").alias("health"), F.col("s.total").alias("total_records"))
+    begin = F.struct(F.lit(0).cast("long").alias("streak"), F.lit(START).cast("long").alias("health"))
+    folded = blocks.groupBy(F.col("source_name").alias("name")).agg(F.aggregate(ordered, begin, step).alias("s"))
+    both = counts.join(folded, F.col("source_name").eqNullSafe(F.col("name")))
+    return both.select("source_name", "success_count", "error_count", F.col("s.streak").alias("consecutive_errors"), "avg_duration", (F.col("s.health") / 10).alias("health"), "total_records")
 
 
 @dataclass

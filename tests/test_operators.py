@@ -131,6 +131,31 @@ def test_run_status_folds_in_order(spark):
     assert round(got["t"].health, 6) == 0.3
 
 
+def test_run_status_of_a_hot_source_needs_no_array_of_its_runs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", k, rng.random() < 0.6, float(k % 7), k % 5) for k in range(3000)] + [(None, k, k % 3 == 0, 1.0, 1) for k in range(10)] + [("bad", k, False, 1.0, 1) for k in range(5)]
+    rng.shuffle(rows)
+    runs = spark.createDataFrame(rows, "source_name string, seq long, success boolean, duration double, records long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # many blocks of a source
+    try:
+        status = merge.run_status(runs)
+        got = {r.source_name: r for r in status.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {"hot", None, "bad"}
+    for name, r in got.items():
+        health, streak = 5, 0
+        for _, _, good, *_ in sorted((x for x in rows if x[0] == name), key=lambda x: x[1]):
+            health, streak = (min(10, health + 1), 0) if good else (max(0, health - 2), streak + 1)
+        known = [x for x in rows if x[0] == name and x[2]]
+        assert (r.health, r.consecutive_errors, r.success_count) == (health / 10, streak, len(known))
+        assert r.total_records == sum(x[4] for x in known) and abs(r.avg_duration - sum(x[3] for x in known) / max(1, len(known))) < 1e-9
+    plan = status._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(seq" not in plan and "RepartitionByExpression" in plan
+
+
 def test_snapshots_and_a_stream_into_them(spark, tmp_path):
     store = merge.Snapshots(spark, str(tmp_path / "store"))
     with pytest.raises(Exception):
