@@ -27,6 +27,28 @@ def test_names_match_exactly_then_by_containment(spark):
     assert {(r.query, r.place_id, r.how) for r in joins.match_names(names, places).collect()} == {("THE BLUE ROOM", 1, "exact"), ("blue room annex", 2, "contained")}
 
 
+def test_names_are_matched_by_equi_joins_like_all_pairs(spark, sf):
+    import re
+
+    bare = lambda t: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9_\s]", "", re.sub(r"\b(theater|theatre|center|centre|hall|club|district)\b", "", t.lower()))).strip()
+    customers = [(r.c_custkey, r.c_name) for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name").collect()][:150]
+    places = [*customers, (1001, "Blue Room Hall"), (1002, "ab"), (1003, "Ω"), (1004, "!")]
+    asked = [n.upper() for _, n in customers[:20]] + [f"The {n} Hall" for _, n in customers[20:60]] + [n[3:] for _, n in customers[60:80]] + ["Theatre: Blue Room", "c", "cab", "nothing like it", "", "Ω bar", "club"]
+    low = lambda q, n: q.lower() in n.lower() or n.lower() in q.lower()
+    for known in (places, [*places, (2000, "")]):
+        expected = set()
+        for q in asked:
+            clean = [i for i, n in known if bare(q) and bare(n) and (bare(q) in bare(n) or bare(n) in bare(q))]
+            for how, hits in (("exact", [i for i, n in known if n.lower() == q.lower()]), ("contained", [i for i, n in known if low(q, n)]), ("cleaned", clean)):
+                if hits:
+                    expected.add((q, min(hits), how))
+                    break
+        got = joins.match_names(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame(known, "place_id long, name string"))
+        assert {tuple(r) for r in got.collect()} == expected
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_heat_counts_a_missing_rating_as_three(spark):
     rows = [(1, 39.1, -94.6, 4.0), (2, None, None, 3.5), (3, 39.2, -94.5, 4.2), (4, None, -94.7, 3.8)]
     venues = spark.createDataFrame(rows, "venue_id long, lat double, lng double, avg_rating double")
