@@ -483,5 +483,5 @@ def gbt_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = b.venues(spark, sf_dir)
     labels = v.select("venue_id", sc.label(*(F.col(c) for c in ("avg_rating", "category", "lat", "lng"))).alias("label"))
     rows = model.feature_matrix(v, b.events(spark, sf_dir), b.as_of())
-    best, _ = model.train(rows.join(labels, "venue_id"), n=2, rounds=5)
+    best, _ = model.train(rows.join(labels, "venue_id"))
     return model.predict(best, rows)

@@ -208,3 +208,22 @@ def test_folds_expand_and_training_needs_both_labels(spark):
     rows = df.select("venue_id", *(F.lit(1.0).alias(c) for c in model.FEATURES), F.lit(1).alias("label"))
     with pytest.raises(ValueError):
         model.train(rows, n=2, rounds=1)
+
+
+def test_gbt_query_trains_with_all_folds_and_stops_by_the_fold(spark, sf, monkeypatch):
+    import inspect
+
+    from civitas.plans import registry
+
+    seen = []
+
+    def spy(rows, *args, **named):
+        seen.append((args, named))
+        raise StopIteration
+
+    defaults = {k: p.default for k, p in inspect.signature(model.train).parameters.items()}
+    assert (defaults["n"], defaults["rounds"]) == (5, 1000)
+    monkeypatch.setattr(model, "train", spy)
+    with pytest.raises(StopIteration):
+        registry.QUERIES["gbt_train_predict"](spark, sf)
+    assert seen == [((), {})]
