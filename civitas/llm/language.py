@@ -105,7 +105,10 @@ class Codes:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
     """Learn from ``docs`` (doc_id, text, lang): about ``sample`` texts of each language, chosen by
-    a hash of the id; n-grams are counted by the tasks and arrive here summed, a bounded table."""
+    a hash of the id; n-grams are counted by the tasks and arrive here summed, a bounded table.
+
+    Only the ``MOST_LANGUAGES`` most frequent languages are learned; texts of others get one of these.
+    """
     tune(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}

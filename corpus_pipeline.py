@@ -12,8 +12,11 @@ from civitas.llm.decontaminate import without_leaks
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's language is what the model of the labelled documents says; documents without
-    a language (null or no letter) go."""
-    found = language.identify(docs, language.fit(docs))
+    a language (null or no letter) go. If no document is labelled there is no model: the others stay as they are."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, model)
     kept = found.where("lang_pred <> 'und'")
     return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc.{c}") for c in docs.columns))
 

@@ -284,6 +284,12 @@ def test_op8_names_official_texts_as_they_are_wrapped(spark, leader):
         assert (r.licenses, r.rules) == ([r.doc.doc_id], [FULL[r.doc.doc_id]])
 
 
+def test_an_unlabelled_corpus_stays(spark, sf):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "été", None), (3, "12 !", None), (4, None, None), (5, "字", None)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
+
+
 def test_op9_equals_the_library(spark, sf, docs):
     from tokenizers import Tokenizer
 
