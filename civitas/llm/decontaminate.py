@@ -272,7 +272,8 @@ def _clean(docs: DataFrame, index: Index) -> DataFrame:
                 done += len(part)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns' names are
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civitas.llm.common import Memo, documents, staged, tune, words_of
+from civitas.llm.common import Memo, documents, named, staged, tune, words_of
 from civitas.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -253,8 +253,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Linked: shingle sets with 100 * intersection >= 75 * union. A null, empty or blank text has
     an empty set and is its own component. Rows with one id are one document. A row with a null
-    id takes no part: its component is null and it isn't kept. Other columns are ignored; an
-    empty table gives an empty result.
+    id takes no part: its component is null and it isn't kept. Ids are integers, or cast to them: others
+    raise an error. Other columns are ignored; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
     signed = staged(signatures(docs), "signatures")
@@ -287,12 +287,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
     again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     few = lambda ids: F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     again, gone = staged(again, "again"), staged(gone, "gone")
-    rows = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    names = [named(c) for c in docs.columns]
+    rows = docs.join(few(gone), "doc_id", "left_anti").select(names)
     if again.isEmpty():
         return rows
     again = few(again)
     once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    return rows.join(again, "doc_id", "left_anti").unionByName(once).select(names)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

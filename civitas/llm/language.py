@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civitas.llm.common import documents, held_out, slices, tune
 
 #: Hash buckets of the n-grams, longest n-gram in bytes, and texts of a language to learn from (about).
 BUCKETS, LONGEST, SAMPLE = 1 << 15, 4, 10_000
-MOST_LANGUAGES = 256
+#: Languages whose counts are at one place at once.
+AT_ONCE = 256
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 # Bytes that stand for themselves in an n-gram: lower-case letters and all of UTF-8 beyond ASCII.
@@ -93,7 +95,8 @@ class Codes:
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         margins = self.margins(texts)
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.worth
+        # a bit of 1 costs log(1 + exp(-margin)), one of -1 log(1 + exp(margin))
+        loss = (np.logaddexp(0, -margins) * self.worth) @ (self.code > 0).T + (np.logaddexp(0, margins) * self.worth) @ (self.code < 0).T
         like = np.exp(loss.min(1, keepdims=True) - loss)
         like /= like.sum(1, keepdims=True)
         order = np.sort(like, 1)
@@ -105,22 +108,51 @@ class Codes:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
     """Learn from ``docs`` (doc_id, text, lang): about ``sample`` texts of each language, chosen by
-    a hash of the id; n-grams are counted by the tasks and arrive here summed, a bounded table.
-
-    Only the ``MOST_LANGUAGES`` most frequent languages are learned; texts of others get one of these.
+    a hash of the id; n-grams are counted by the tasks and arrive here summed.
+    Every language is learned, in blocks of ``AT_ONCE``: memory follows the bits, not the languages.
     """
     tune(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
-    part = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k])))) if languages else None
     if not languages:
         return Codes([], codewords(0), np.zeros((0, BUCKETS)), np.ones(0), np.ones(0))
+    code, blocks = codewords(len(languages)), range(0, len(languages), AT_ONCE)
+
+    def counted(at: int) -> np.ndarray:
+        """The n-grams of a block of languages, a row for each."""
+        return _counted(known, {k: min(1.0, sample / sizes[k]) for k in languages[at : at + AT_ONCE]})
+
+    # several blocks are counted twice rather than kept
+    kept = counted(0) if len(blocks) == 1 else None
+
+    def rates(at: int) -> np.ndarray:
+        own = counted(at) if kept is None else kept
+        return (own + 0.5) / (own.sum(1, keepdims=True) + 0.5 * BUCKETS)  # languages weigh the same
+
+    sums = np.zeros((2, code.shape[1], BUCKETS))
+    for at in blocks:
+        own = rates(at)
+        for side, sign in enumerate((1, -1)):
+            sums[side] += (code[at : at + AT_ONCE] == sign).T.astype(float) @ own
+    ones = (code > 0).sum(0)[:, None]
+    table = (np.log(sums[0] / ones) - np.log(sums[1] / (len(languages) - ones))).astype(np.float32)
+    # what an n-gram of each language is worth to a bit on average: how surely the bit is told
+    sure = np.full(code.shape[1], np.inf)
+    for at in blocks:
+        sure = np.minimum(sure, (rates(at) @ table.T * code[at : at + AT_ONCE]).min(0, initial=np.inf))
+    sure = np.maximum(sure, 1e-6)
+    return Codes(languages, code, table, np.ones(code.shape[1]), sure / sure.mean() if len(sure) else sure)
+
+
+def _counted(known: DataFrame, rate: dict[str, float]) -> np.ndarray:
+    """N-grams in texts of each language of ``rate``, of which that share is read."""
+    place = {k: i for i, k in enumerate(rate)}
+    part = F.create_map(*(F.lit(x) for kv in rate.items() for x in kv))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.try_element_at(part, F.col("lang")) * 1_000_000)
-    place = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total = np.zeros((len(place), BUCKETS), np.int64)
         for batch in batches:
             langs = iter(batch.column(1).to_pylist())
             for texts in slices(batch.column(0).to_pylist()):
@@ -131,16 +163,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["at", "n"])
 
     summed = chosen.select("text", "lang").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(languages) * BUCKETS)
-    counts[summed["at"].to_numpy()] = summed["n"].to_numpy()
-    counts = counts.reshape(len(languages), BUCKETS)
-    rates = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)  # languages weigh the same
-    code = codewords(len(languages))
-    table = np.stack([np.log(rates[bit > 0].mean(0)) - np.log(rates[bit < 0].mean(0)) for bit in code.T]).astype(np.float32) if code.shape[1] else np.zeros((0, BUCKETS), np.float32)
-    # what an n-gram of each language is worth to a bit on average: its scale, and how surely it is told
-    mean = np.array([[(r * t).sum() for t in table] for r in rates]) * code if code.shape[1] else np.zeros((len(languages), 0))
-    sure = np.maximum(mean.min(0), 1e-6)
-    return Codes(languages, code, table, np.ones(code.shape[1]), sure / sure.mean() if len(sure) else sure)
+    out = np.zeros(len(place) * BUCKETS)
+    out[summed["at"].to_numpy()] = summed["n"].to_numpy()
+    return out.reshape(len(place), BUCKETS)
 
 
 def identify(docs: DataFrame, model: Codes, least_gap: float = 0.2) -> DataFrame:
@@ -161,8 +186,8 @@ def identify(docs: DataFrame, model: Codes, least_gap: float = 0.2) -> DataFrame
             close = pa.array([bool(g < least_gap) or n == "und" for g, n in zip(gap, named)])
             yield pa.record_batch([batch.column(0), lang, pa.array(score, pa.float64()), close], ["doc", "lang_pred", "score", "ambiguous"])
 
-    kind = source.schema["doc"].dataType.simpleString()
-    return source.mapInArrow(decode, f"doc {kind}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType([source.schema["doc"]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return source.mapInArrow(decode, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civitas.llm.common import documents, held_out, tune
 
-#: Labelled texts of a class for its dictionary, and again for the fit (about); blocks taken of each text
-#: and their bytes; a dictionary's bytes; bytes compressed at once; zstandard's level.
-SAMPLE, BLOCKS, CUT, DICTIONARY, CHUNK, LEVEL = 2000, 16, 512, 112_640, 1024, 3
+#: Labelled texts of a class for its dictionary, whole, and again for the fit (about); bytes of the blocks
+#: they are cut into; a dictionary's bytes; bytes compressed at once; zstandard's level.
+SAMPLE, CUT, DICTIONARY, CHUNK, LEVEL = 2000, 512, 112_640, 1024, 3
 
 
 def dictionary(blocks: list[bytes]) -> bytes:
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality | f
             quality, out = [], []
             for q, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8", "replace")
-                for at in range(0, len(data), CUT * max(1, -(-len(data) // (CUT * BLOCKS)))):
+                for at in range(0, len(data), CUT):
                     quality.append(q)
                     out.append(data[at : at + CUT])
             yield pa.record_batch([pa.array(quality, pa.int32()), pa.array(out, pa.binary())], ["quality", "block"])
@@ -144,8 +145,7 @@ def score(docs: DataFrame, model: Quality | float, least: float = 0.3) -> DataFr
             found = own.score(own.sizes(texts)) if isinstance(own, Quality) else np.full(len(texts), own)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], ["doc", "score"])
 
-    kind = source.schema["doc"].dataType.simpleString()
-    out = source.mapInArrow(rate, f"doc {kind}, score double")
+    out = source.mapInArrow(rate, T.StructType([source.schema["doc"]]).add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 

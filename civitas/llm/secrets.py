@@ -11,13 +11,18 @@ from __future__ import annotations
 import functools
 import operator
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civitas.llm.common import documents, staged
+from civitas.llm.common import documents, named, staged
+
+try:
+    from re import _constants as sre
+    from re import _parser
+except ImportError:  # Python before 3.11
+    import sre_constants as sre
+    import sre_parse as _parser
 
 #: Candidates up to which they are broadcast (16 bytes and a short list each); beyond, the join shuffles.
 MOST_BROADCAST = 1_000_000
@@ -152,30 +157,33 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``secret_spans``: array of (start, ord, end, kind) of all
-    rules, by start, then in the rules' order; start and end are code points, end exclusive.
+    """``doc`` (all columns of ``docs`` (doc_id, text, ...) as a struct) and ``secret_spans``: array of
+    (start, ord, end, kind) of all rules, by start, then in the rules' order; start and end are code
+    points, end exclusive.
 
     A null or empty text has no spans. Null and repeated ids and repeated rows are scanned like
-    others; every column of ``docs`` is kept. An empty table gives an empty result.
+    others; columns of ``docs`` may have any names. An empty table gives an empty result.
     """
-    names = docs.columns
     found = staged(candidates(docs, rules), "secret_candidates")
     if found.count() <= MOST_BROADCAST:
         found = F.broadcast(found)
-    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("doc"), F.coalesce("text", F.lit("")).alias("body"), F.xxhash64("doc_id", "text").alias("k")).join(found, "k", "left")
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce("text", F.lit("")).alias("body"), F.xxhash64("doc_id", "text").alias("k")).join(found, "k", "left")
     spans = F.array_sort(F.concat(*(_spans(rule, i) for i, rule in enumerate(rules))))
-    return rows.withColumn("secret_spans", spans).select("doc", "body", "secret_spans").select("doc.*", "secret_spans")
+    return rows.select("doc", spans.alias("secret_spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark`` (overlapping spans by one);
-    its other columns are as they were. A text without spans is unchanged."""
+    its other columns are as they were, whatever their names. A text without spans is unchanged."""
+    text = F.col("doc.text")
+
     def step(acc: Column, s: Column) -> Column:
-        clean = F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        clean = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), clean.alias("done"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["done"].alias("done")))
 
-    out = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return scan(docs, rules).withColumn("text", F.when(F.size("secret_spans") > 0, out).otherwise(F.col("text"))).drop("secret_spans")
+    out = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    clean = F.when(F.size("secret_spans") > 0, out).otherwise(text)
+    return scan(docs, rules).select(*((clean if c == "text" else named(c, "doc")).alias(c) for c in docs.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +192,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.filter(spans, lambda x: x["kind"] == kind)
     counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     base = F.filter(spans, lambda x: x["ord"] < len(BASE_RULES))
-    return scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
 def _sql_spans(rule: Rule, order: int) -> str:
