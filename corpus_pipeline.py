@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitas.llm import dedup, language, packing, secrets
-from civitas.llm.common import documents, staged
+from civitas.llm.common import documents, named, staged
 from civitas.llm.decontaminate import without_leaks
 
 
@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, model)
     kept = found.where("lang_pred <> 'und'")
-    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc.{c}") for c in docs.columns))
+    return kept.select(*((F.col("lang_pred") if c == "lang" else named(c, "doc")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; the length follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    clean = secrets.redact(docs)
+    return clean.select(*((F.char_length("text").cast("long") if c == "n_chars" else named(c)).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
