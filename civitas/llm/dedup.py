@@ -37,6 +37,8 @@ BITS = 2048
 AGREE_BITS = int(BITS * (0.875 - 4 * (0.875 * 0.125 / BITS) ** 0.5))
 #: Members of a bucket's block, texts sent with one copy of a hub, and rows up to which a plan is broadcast.
 BLOCK, PER_HUB, MOST_BROADCAST = 1024, 512, 1_000_000
+#: Rows of one key from which a join doesn't deal them to one task.
+HOT = 1024
 
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -110,6 +112,18 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return left.join(right, "node").select(F.xxhash64("i", "half", "j", "other").alias("key"), F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), "node")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (a row a key) on ``key``, of which ``hot`` has the values with many rows
+    on the left: their few rows on the right are broadcast, so no such group is dealt to one task."""
+    hot = staged(hot, "hot")
+    n = hot.count()
+    if not n or n > MOST_BROADCAST // 16:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(staged(right.join(hot, key, "left_semi"), "hot_rows"))
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def _hub_order(key) -> F.Column:
     """One of four orders of the nodes, as a mask to apply before taking the least."""
     return F.shiftrightunsigned(F.xxhash64(F.pmod(key, F.lit(4))), 1)
@@ -120,7 +134,8 @@ def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = _hub_order(F.col("key"))
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(order)).alias("least")).where("n > 1")
     hubs = hubs.select("key", "n", F.col("least").bitwiseXOR(order).alias("hub"))
-    shared = staged(members.join(hubs, "key"), "buckets")
+    hubs = staged(hubs, "hubs")
+    shared = staged(hot_join(members, hubs, "key", hubs.where(F.col("n") > HOT).select("key")), "buckets")
     return shared, shared.where("hub <> node").select("hub", "node").distinct()
 
 
@@ -157,7 +172,9 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(1) >= AGREE))
 
-    both = pairs.join(own("node"), "node").join(own("hub"), "hub").where(100 * least >= PERCENT * most)
+    pairs = staged(pairs, "hub_pairs")
+    hot = pairs.groupBy("hub").count().where(F.col("count") > HOT).select("hub")
+    both = hot_join(pairs.join(own("node"), "node"), own("hub"), "hub", hot).where(100 * least >= PERCENT * most)
     return both.select("hub", "node", "hub_sketch", "node_sketch").mapInArrow(agree, "hub long, node long")
 
 
@@ -168,8 +185,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     with a copy of its text, so no group has more than about ``PER_HUB`` texts.
     """
     pairs = staged(pairs, "pairs")
-    copies = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("copies"))
-    nodes = pairs.join(copies, "hub").select(F.col("node").alias("id"), "hub", F.pmod(F.xxhash64("node"), "copies").cast("int").alias("part"))
+    copies = staged(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("copies")), "copies")
+    nodes = hot_join(pairs, copies, "hub", copies.where(F.col("copies") > HOT // PER_HUB).select("hub")).select(F.col("node").alias("id"), "hub", F.pmod(F.xxhash64("node"), "copies").cast("int").alias("part"))
     hubs = copies.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
     plan = staged(nodes.unionByName(hubs), "plan")
     if plan.count() <= MOST_BROADCAST:
