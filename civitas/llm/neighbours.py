@@ -21,8 +21,8 @@ from civitas.llm.common import staged, tune
 
 #: Codebooks, words of each, kept beams, vectors to fit on (about), candidates to rerank.
 BOOKS, WORDS, BEAMS, SAMPLE, CANDIDATES = 16, 256, 4, 16_384, 200
-#: Codes of a search task, queries of a broadcast and of a table.
-PER_TASK, QUERIES, AT_ONCE = 8192, 32_768, 64
+#: Least and most codes of a search task, queries of a broadcast and of a table.
+LEAST_OF_TASK, PER_TASK, QUERIES, AT_ONCE = 4096, 32_768, 16_384, 64
 
 
 @dataclass
@@ -53,33 +53,48 @@ class Codebooks:
         return sum(book[codes[:, m]] for m, book in enumerate(self.words))
 
 
-def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 4) -> Codebooks:
-    """Codebooks for unit vectors: k-means of each residual in turn, then one joint least-squares
-    update of all words for the sample's beam-search codes."""
+def _means(book: np.ndarray, near: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Each word of ``book`` as the mean of the rows of ``of`` that are ``near`` it; others as they are."""
+    order = np.argsort(near, kind="stable")
+    named, first = np.unique(near[order], return_index=True)
+    out = book.copy()
+    out[named] = np.add.reduceat(of[order], first, axis=0) / np.diff(first, append=len(order))[:, None]
+    return out
+
+
+def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 4, sweeps: int = 3) -> Codebooks:
+    """Codebooks for unit vectors: k-means of each residual in turn, then least squares over all words
+    for the sample's beam-search codes, solved book by book: with the other books as they are, the
+    best words are means of what the others leave over. Memory follows the sample alone."""
     rng = np.random.default_rng(seed)
-    left, out = sample.astype(np.float32), []
+    sample = sample.astype(np.float32)
+    left, out = sample.copy(), []
+    near = np.zeros(len(left), np.int64)
+
+    def assign(book: np.ndarray) -> None:
+        norm = (book**2).sum(1)
+        for at in range(0, len(left), 2048):
+            near[at : at + 2048] = (norm - 2 * left[at : at + 2048] @ book.T).argmin(1)
+
     for _ in range(books):
         book = left[rng.choice(len(left), words, replace=len(left) < words)].copy()
         for _ in range(8):
-            near = ((book**2).sum(1) - 2 * left @ book.T).argmin(1)
-            sums = np.zeros_like(book)
-            np.add.at(sums, near, left)
-            size = np.bincount(near, minlength=words)
-            book = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], left[rng.integers(0, len(left), words)])
-        near = ((book**2).sum(1) - 2 * left @ book.T).argmin(1)
-        left = left - book[near]
+            assign(book)
+            empty = np.bincount(near, minlength=words) == 0
+            book = _means(book, near, left)
+            book[empty] = left[rng.integers(0, len(left), int(empty.sum()))]
+        assign(book)
+        left -= book[near]
         out.append(book)
     model = Codebooks(np.stack(out))
-    codes = np.concatenate([model.encode(sample[at : at + 1024])[0] for at in range(0, len(sample), 1024)])
-    gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, sample.shape[1]))
-    flat = codes + np.arange(books) * words
-    for a in range(books):
-        np.add.at(right, flat[:, a], sample)
-        for b in range(books):
-            np.add.at(gram, (flat[:, a], flat[:, b]), 1)
-    start = model.words.reshape(books * words, -1)
-    joint = start + np.linalg.solve(gram + np.eye(len(gram)), right - gram @ start)  # ridge toward the k-means words
-    return Codebooks(joint.reshape(model.words.shape).astype(np.float32))
+    codes = np.concatenate([model.encode(sample[at : at + 512])[0] for at in range(0, len(sample), 512)])
+    left = sample - model.decode(codes)
+    for _ in range(sweeps):
+        for book, near in zip(model.words, codes.T):
+            left += book[near]
+            book[:] = _means(book, near, left)
+            left -= book[near]
+    return model
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -120,7 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
     if not total or not count:
         return spark.createDataFrame([], schema)
 
-    part = F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / total)
+    part = F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1_000_000_000)) < 1_000_000_000 * min(1.0, sample / total)
     chosen = classes.where(part).orderBy("class").limit(2 * sample).select("embedding").toArrow()
     model = spark.sparkContext.broadcast(fit(unit((chosen if len(chosen) else classes.limit(1).select("embedding").toArrow())["embedding"].combine_chunks())))
 
@@ -129,12 +144,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
             codes, norms = model.value.encode(unit(batch.column(1))) if batch.num_rows else (np.zeros((0, 1), np.uint8), np.zeros(0))
             yield pa.record_batch([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32), pa.float32())], ["class", "code", "norm"])
 
-    tasks = -(-total // PER_TASK)
-    index = staged(classes.select("class", "embedding").repartition(tasks, "class").mapInArrow(encode, "class long, code binary, norm float"), "codes")
-    # the codes are dealt by hash: a task holds about its share of a query's best, and thrice that is plenty
-    most = min(candidates, max(32, 3 * candidates // tasks))
+    # what a task gives doesn't depend on the number of tasks, so neither does the result
+    tasks = max(-(-total // PER_TASK), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_OF_TASK)))
+    index = staged(classes.select("class", "embedding").repartition(tasks, "class").mapInArrow(encode, "class long, code binary, norm float"), "codes").repartition(tasks, "class")
     blocks = -(-count // QUERIES)
-    found = reduce(DataFrame.unionByName, [_search(index.repartition(tasks, "class"), asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), model, most) for b in range(blocks)])
+    in_block = lambda b: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    # one block of queries at a time is at the driver and the tasks
+    found = reduce(DataFrame.unionByName, [_search(index, in_block(b), model, candidates) for b in range(blocks)])
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "class")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates).select("query_id", "class")
     own = asked.withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64(F.lit(1), "embedding")).join(classes.select("class", "h", "g"), ["h", "g"]).select("query_id", "class")
@@ -153,9 +169,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
 
 
 def _search(index: DataFrame, asked: DataFrame, model, most: int) -> DataFrame:
-    """(query_id, class, near): each task's best ``most`` codes for each query of a block."""
+    """(query_id, class, near): the best ``most`` codes of each task for each query of a block, as a
+    table in the shared folder."""
     table = asked.toArrow()
-    block = index.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), unit(table["embedding"].combine_chunks()).astype(np.float32) if len(table) else None))
+    ids, vectors = table["query_id"].to_numpy(), unit(table["embedding"].combine_chunks()).astype(np.float32) if len(table) else None
+    block = index.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = block.value
@@ -174,10 +192,12 @@ def _search(index: DataFrame, asked: DataFrame, model, most: int) -> DataFrame:
             for m, book in enumerate(model.value.words):
                 near += (some @ book.T)[:, codes[:, m]]
             near /= np.maximum(norms, 1e-12)
-            best = np.argsort(-near, axis=1, kind="stable")[:, :keep]
+            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
             yield pa.record_batch([pa.array(np.repeat(ids[at : at + AT_ONCE], keep)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel().astype(np.float64))], ["query_id", "class", "near"])
 
-    return index.mapInArrow(search, "query_id long, class long, near double")
+    found = staged(index.mapInArrow(search, "query_id long, class long, near double"), "found")
+    block.unpersist()
+    return found
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
