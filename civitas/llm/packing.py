@@ -25,11 +25,10 @@ from civitas.llm.common import Generations, documents, staged, tune
 #: Pieces of a bucket, on average.
 BUCKET = 8192
 _ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, symbols to the tokenizer
-# The pre-token rule for lower-cased words below U+0250, where the classes \p{L} and \p{N} are these.
+# The pre-token rule for lower-cased text below U+0250, where the classes \p{L} and \p{N} are these.
 _L, _N = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
-_PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+_PRE = re.compile(rf"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_L}{_N}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
-_TAIL = ".,;:!?*&$#%|)]}"  # marks that end words; never letters, digits or white space
 
 
 @functools.cache
@@ -41,9 +40,9 @@ def _encoder(path: str):
 
 
 @functools.cache
-def _memos(path: str) -> tuple[Generations, Generations]:
-    """Ids of words between white space, and of the pre-tokens that they are made of."""
-    return Generations(450_000), Generations(300_000)
+def _memo(path: str) -> Generations:
+    """Ids of pre-tokens, and of the words that only the tokenizer can cut."""
+    return Generations(500_000)
 
 
 def ids_of(text: str, path: str) -> bytes:
@@ -70,34 +69,42 @@ def _encode_parts(parts: list[str], path: str) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _cut(word: str) -> list[str] | None:
-    """The pre-tokens of a word, or None where only the tokenizer can say."""
-    low = word.lower()
-    core = low.rstrip(_TAIL)
-    if core.isalpha() and not _BEYOND.search(core):  # letters and then marks: the most of words
-        return [core, low[len(core) :]] if len(core) < len(low) else [core]
-    return None if _BEYOND.search(low) or "<|" in low or _ODD.search(low) else _PRE.findall(low)
+def _cut(text: str, odd: set[str]) -> list[str]:
+    """The pre-tokens of a text; words that only the tokenizer can cut stay whole and are added to ``odd``."""
+    low = text.lower()
+    if not (_BEYOND.search(low) or "<|" in low or _ODD.search(low)):
+        return _PRE.findall(low)
+    if _ODD.search(text):
+        odd.add(text)
+        return [text]
+    words, own, at = text.split(), [], 0
+    for i, word in enumerate(words):
+        if "<|" in word or (not word.isascii() and _BEYOND.search(word.lower())):
+            own += _PRE.findall(" ".join(words[at:i]).lower())
+            own.append(word)
+            odd.add(word)
+            at = i + 1
+    return own + _PRE.findall(" ".join(words[at:]).lower())
 
 
 def encode_all(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text under a word-level pre-tokenizer that drops white space, so that the ids
-    of a text are those of its words one after the other. Short words and their pre-tokens are
-    encoded once while the memos keep them."""
-    words, parts = _memos(path)
-    split = [[text] if text and _ODD.search(text) else (text or "").split() for text in texts]
-    new = words.ready({w for own in split for w in words.lacking(own) if len(w) <= 64})
-    cut = [_cut(w) for w in new]
-    unknown = parts.ready(set().union(*(own for own in cut if own)))
-    for at in range(0, len(unknown), 512):
-        parts.update(zip(unknown[at : at + 512], _encode_parts(unknown[at : at + 512], path)))
-    for word, own in zip(new, cut):
-        words[word] = ids_of(word, path) if own is None else b"".join(map(parts.find, own))
-    get = words.get
+    of a text are those of its pre-tokens one after the other. Short ones are encoded once while the
+    memo keeps them."""
+    memo, odd = _memo(path), set()
+    split = [_cut(text or "", odd) for text in texts]
+    new = [w for w in memo.ready({w for own in split for w in memo.lacking(own) if len(w) <= 64})]
+    whole = [w for w in new if w in odd]
+    memo.update((w, ids_of(w, path)) for w in whole)
+    parts = [w for w in new if w not in odd] if whole else new
+    for at in range(0, len(parts), 512):
+        memo.update(zip(parts[at : at + 512], _encode_parts(parts[at : at + 512], path)))
+    get = memo.get
     for own in split:
         try:
             yield b"".join(map(get, own))
-        except TypeError:  # a word is long or of the older generation
-            yield b"".join([ids_of(w, path) if (ids := words.find(w)) is None else ids for w in own])
+        except TypeError:  # one is long or of the older generation
+            yield b"".join([ids_of(w, path) if (ids := memo.find(w)) is None else ids for w in own])
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int) -> DataFrame:
@@ -105,8 +112,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     into pieces of ``capacity`` where longer."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = _memos(path)
-        words.hold(parts)
+        _memo(path).hold()
         for batch in batches:
             row, piece, length, crc = [], [], [], []
             for i, ids in enumerate(encode_all(batch.column(1).to_pylist(), path)):
@@ -163,7 +169,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weight
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, most_documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.001, 0.001), by: str = "norm", bucket: int = BUCKET) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, most_documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), by: str = "norm", bucket: int = BUCKET) -> DataFrame:
     """Pieces of every row of ``docs`` (doc_id, text, ...) with their sequence and place in it:
     doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
