@@ -179,7 +179,7 @@ def test_op5_score_word_by_word(spark):
     texts = [" ".join(rng.choice(["blue", "room", "stage", "night", "of", "the", "kansas"], 60)) for _ in range(60)]
     schema = "doc_id long, text string"
     learn = spark.createDataFrame(list(enumerate(texts)), schema)
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     counts = Counter(w for t in texts for w in lm.tokens_of(t))
     table = spark.createDataFrame(list(counts.items()), "token binary, n long")
     model = lm.train(learn, table, path)
@@ -198,7 +198,7 @@ def test_op5_score_word_by_word(spark):
         heads = model.first_logs(np.array([first[w] for w in tokens]), np.array([len(tokens)]))
         for at, w in enumerate(tokens):
             unseen = math.exp(model.unseen[first[w]])
-            tail = (1 - unseen) * counts[w] / of_first[first[w]] if w in counts else math.exp(model.spelled([w])[0])
+            tail = (1 - unseen) * counts[w] / of_first[first[w]] if w in counts else math.exp(model.spelled(lm._ids([w], path))[0])
             mine = lm.OWN * at / (at + lm.HALF)
             expected += math.log10((1 - mine) * math.exp(heads[at]) * tail + mine * tokens[:at].count(w) / max(at, 1))
         assert math.isclose(r.score, expected, rel_tol=1e-5) and r.train_tokens == total
