@@ -29,7 +29,14 @@ TYPE_CATEGORY = {
     "restaurant": "restaurant", "bar": "bar", "night_club": "nightclub", "cafe": "restaurant", "museum": "museum", "art_gallery": "gallery", "movie_theater": "theater", "shopping_mall": "shopping", "gym": "recreation",
     "spa": "recreation", "book_store": "cultural", "library": "cultural", "park": "recreation", "stadium": "sports_venue", "bowling_alley": "recreation", "casino": "entertainment", "amusement_park": "entertainment",
 }
-MARKERS = [(0.8, 12, "#d73027"), (0.6, 10, "#fc8d59"), (0.4, 8, "#fee08b"), (0.2, 6, "#e0f3f8"), (None, 4, "#91bfdb")]
+MARKERS = [(0.8, 12), (0.6, 10), (0.4, 8), (0.2, 6), (None, 4)]
+SCHEMES = {
+    "default": ["#d73027", "#fc8d59", "#fee08b", "#e0f3f8", "#91bfdb"],
+    "api": ["#08519c", "#3182bd", "#6baed6", "#9ecae1", "#c6dbef"],
+    "scraped": ["#00441b", "#238b45", "#66c2a4", "#b2e2ab", "#edf8e9"],
+    "calculated": ["#a50f15", "#de2d26", "#fb6a4a", "#fc9272", "#fcbba1"],
+    "ground_truth": ["#4a1486", "#6a51a3", "#9e9ac8", "#cbc9e2", "#f2f0f7"],
+}
 
 
 def literal_map(d: dict) -> Column:
@@ -61,7 +68,7 @@ def label(rating: Column, category: Column, lat: Column, lng: Column, noise: Col
 def event_adjustment(category: Column, start: Column) -> Column:
     """Category factor times hour factor, at most 2; hour 22 is still evening."""
     h = F.hour(start)
-    by_hour = F.when(h.isNull(), 1.0).when(h.between(18, 22), 1.2).when(h.between(12, 17), 1.0).when((h >= 22) | (h <= 6), 0.8).otherwise(0.7)
+    by_hour = F.when(h.isNull(), 1.0).when(h.between(18, 22), 1.2).when(h.between(12, 17), 1.0).when((h >= 23) | (h <= 6), 0.8).otherwise(0.7)
     return F.least(F.coalesce(F.try_element_at(literal_map(EVENT_FACTOR), F.lower(F.coalesce(category, F.lit("")))), F.lit(1.0)) * by_hour, F.lit(2.0))
 
 
@@ -77,10 +84,10 @@ def type_category(types: Column) -> Column:
     return F.coalesce(F.try_element_at(known, first), F.lit("local_venue"))
 
 
-def marker(score: Column) -> Column:
-    """(radius, colour) of a score's bucket."""
+def marker(score: Column, scheme: str = "default") -> Column:
+    """(radius, colour) of a score's bucket in a colour scheme."""
     out = None
-    for least, radius, colour in reversed(MARKERS):
+    for (least, radius), colour in reversed(list(zip(MARKERS, SCHEMES[scheme]))):
         made = F.struct(F.lit(radius).alias("radius"), F.lit(colour).alias("colour"))
         out = made if out is None else F.when(score >= least, made).otherwise(out)
     return out

@@ -39,14 +39,23 @@ def json_array(answer: Column) -> Column:
     return F.nullif(F.regexp_extract(plain, r"(?s)(\[.*\])", 1), F.lit(""))
 
 
+def mended_json(s: Column) -> Column:
+    """JSON without trailing commas, and with double quotes for single ones around keys and values; an
+    apostrophe inside a value stays, as it isn't followed by what ends a value."""
+    s = F.regexp_replace(s, r",\s*([\]}])", "$1")
+    s = F.regexp_replace(s, r"([{,]\s*)'([^'\"]*)'\s*:", '$1"$2":')
+    s = F.regexp_replace(s, r""":\s*'((?:[^'"\\]|\\.|'(?!\s*[,}\]]))*)'(\s*[,}\]])""", ': "$1"$2')
+    return F.replace(s, F.lit("\\'"), F.lit("'"))
+
+
 def parse_events(answer: Column, most: int = 50) -> Column:
-    """Events of an answer: strictly parsed, else with trailing commas and single quotes mended, else
-    object by object where there is a title; the first ``most`` with a title. None: an empty array."""
+    """Events of an answer: strictly parsed, else mended (``mended_json``), else object by object, each mended,
+    where there is a title; the first ``most`` with a title. None: an empty array."""
     s = json_array(answer)
     strict = {"allowSingleQuotes": "false"}
-    mended = F.regexp_replace(F.regexp_replace(s, r",\s*([\]}])", "$1"), "'", '"')
-    each = F.array_compact(F.transform(F.regexp_extract_all(answer, F.lit(r"(?s)(\{[^{}]*\"title\"[^{}]*\})"), F.lit(1)), lambda o: F.from_json(o, EVENT[6:-1])))
-    found = F.coalesce(F.from_json(s, EVENT, strict), F.from_json(mended, EVENT), each, F.expr(f"cast(array() as {EVENT})"))
+    objects = F.regexp_extract_all(answer, F.lit(r"""(?s)(\{[^{}]*["']title["'][^{}]*\})"""), F.lit(1))
+    each = F.array_compact(F.transform(objects, lambda o: F.from_json(mended_json(o), EVENT[6:-1])))
+    found = F.coalesce(F.from_json(s, EVENT, strict), F.from_json(mended_json(s), EVENT, strict), each, F.expr(f"cast(array() as {EVENT})"))
     return F.slice(F.filter(found, lambda e: e["title"].isNotNull() & (F.trim(e["title"]) != "")), 1, most)
 
 

@@ -118,6 +118,30 @@ def run_status(runs: DataFrame) -> DataFrame:
     return both.select("source_name", "success_count", "error_count", F.col("s.streak").alias("consecutive_errors"), "avg_duration", (F.col("s.health") / 10).alias("health"), "total_records")
 
 
+def full_status(runs: DataFrame) -> DataFrame:
+    """``run_status`` with the totals and the last times, records and duration of ``runs`` (also ran_at)."""
+    good = F.coalesce("success", F.lit(False))
+    of_last = lambda c: F.max_by(c, F.when(good, F.col("seq")))
+    last = runs.groupBy(F.col("source_name").alias("name")).agg(
+        F.count("*").alias("total_runs"), F.max(F.when(good, F.col("ran_at"))).alias("last_successful_collection"), F.max("ran_at").alias("last_attempted_collection"),
+        of_last("records").alias("records_last_run"), of_last("duration").alias("last_duration_seconds"),
+    )
+    both = run_status(runs).join(last, F.col("source_name").eqNullSafe(F.col("name")))
+    return both.select("source_name", "total_runs", F.col("success_count").alias("successful_runs"), "error_count", "last_successful_collection", "last_attempted_collection", "consecutive_errors", F.col("total_records").alias("total_records_collected"), "records_last_run", "last_duration_seconds", F.col("health").alias("collection_health_score"))
+
+
+def health(sources: DataFrame, status: DataFrame, now: Column) -> DataFrame:
+    """How each of ``sources`` (source_name, source_type, is_enabled, daily_quota, requests_made_today) does by its
+    ``status``, the worst first. A source that failed and is also stale counts as stale."""
+    last = F.col("last_successful_collection")
+    state = F.when(last.isNull(), "Never Run").when(last < now - F.expr("INTERVAL 24 HOURS"), "Stale").when(F.col("consecutive_errors") > 3, "Failing").when(F.col("collection_health_score") < 0.5, "Unhealthy").otherwise("Healthy")
+    used = F.when(F.col("daily_quota") > 0, F.col("requests_made_today").cast("double") / F.col("daily_quota")).otherwise(0.0)
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("error_count", "consecutive_errors", "total_records_collected")]
+    out = sources.join(status, "source_name", "left").select("source_name", "source_type", "is_enabled", "collection_health_score", "last_successful_collection", state.alias("status"), *zero, "records_last_run", "requests_made_today", "daily_quota", used.alias("quota_used_pct"))
+    place = F.array_position(F.array(*map(F.lit, ("Failing", "Unhealthy", "Stale", "Never Run", "Healthy"))), F.col("status"))
+    return out.orderBy(place)
+
+
 @dataclass
 class Snapshots:
     """A table as immutable versions under ``root``: a commit writes a new version and then a pointer
@@ -132,6 +156,10 @@ class Snapshots:
         self.spark.createDataFrame([(version, at)], "version long, path string").coalesce(1).write.mode("append").json(f"{self.root}/versions")
 
     def versions(self) -> DataFrame:
+        """(version, path) of all commits; none in a store that nothing has been written to."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], "version long, path string")
         return self.spark.read.schema("version long, path string").json(f"{self.root}/versions")
 
     def read(self, version: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from civitas.functions import quality as q
 from civitas.functions import scoring as sc
 from civitas.functions import text as tx
 from civitas.operators import geo, joins, merge, model
+from civitas.operators.quantile import exact_quantile
 from civitas.sources import bridge as b
 
 QUERIES: dict = {}
@@ -213,7 +214,7 @@ def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT venue_id, prediction_id, round(prediction_value, 4) AS prediction_value FROM predictions WHERE prediction_value >= (SELECT quantile_cont(prediction_value, 0.8) FROM predictions)""")
 def top20_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.predictions(spark, sf_dir).select("venue_id", "prediction_id", "prediction_value")
-    return p.join(F.broadcast(p.agg(F.percentile("prediction_value", F.lit(0.8)).alias("p80"))), F.col("prediction_value") >= F.col("p80")).select("venue_id", "prediction_id", r4("prediction_value", "prediction_value"))
+    return p.where(F.col("prediction_value") >= F.lit(exact_quantile(p, "prediction_value", 0.8))).select("venue_id", "prediction_id", r4("prediction_value", "prediction_value"))
 
 
 @query("SELECT coalesce(round(avg(lat), 4), 39.0997) AS lat, coalesce(round(avg(lng), 4), -94.5786) AS lng FROM (SELECT lat, lng FROM venues UNION ALL SELECT lat, lng FROM demographics)")
@@ -331,14 +332,15 @@ _FACTOR = "CASE CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k i
 _HOUR = "CASE WHEN hour(start_time) BETWEEN 18 AND 22 THEN 1.2 WHEN hour(start_time) BETWEEN 12 AND 17 THEN 1.0 WHEN hour(start_time) >= 22 OR hour(start_time) <= 6 THEN 0.8 ELSE 0.7 END::DOUBLE"
 
 
-@query(f"SELECT event_id, round(least({_FACTOR} * {_HOUR}, 2), 4) AS adjustment, round(least(p.prediction_value * least({_FACTOR} * {_HOUR}, 2), 1), 4) AS prediction FROM ev LEFT JOIN ({_BEST}) p USING (venue_id)")
+@query(f"SELECT event_id, round(least({_FACTOR} * {_HOUR}, 2), 4) AS adjustment, CASE WHEN p.prediction_value IS NOT NULL THEN round(least(p.prediction_value * least({_FACTOR} * {_HOUR}, 2), 1), 4) END AS prediction FROM ev LEFT JOIN ({_BEST}) p USING (venue_id)")
 def event_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = sc.literal_map(dict(enumerate(sc.EVENT_FACTOR)))
     e = b.events(spark, sf_dir).withColumn("kind", F.try_element_at(kinds, (F.col("event_id") % 8).cast("int")))
     e = e.select("event_id", "venue_id", sc.event_adjustment(F.col("kind"), F.col("start_time")).alias("a"))
     best = best_prediction_per_venue(spark, sf_dir)
+    # a venue without a prediction gives its events none
     moved = F.when(F.col("prediction_value").isNotNull(), F.least(F.col("prediction_value") * F.col("a"), F.lit(1.0)))
-    return e.join(best, "venue_id", "left").select("event_id", r4("a", "adjustment"), F.round(F.coalesce(moved, F.lit(1.0)), 4).alias("prediction"))
+    return e.join(best, "venue_id", "left").select("event_id", r4("a", "adjustment"), F.round(moved, 4).alias("prediction"))
 
 
 @query("SELECT venue_id, CASE WHEN category IN ('nightclub', 'bar', 'restaurant') THEN 'high_density' WHEN category IN ('theater', 'music_venue', 'sports_venue') THEN 'medium_density' ELSE 'low_density' END AS density FROM venues")

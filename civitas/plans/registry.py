@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from civitas.plans import records  # noqa: F401  registers its queries
 from civitas.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -40,6 +40,26 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def venues_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues with the rest of their columns."""
+    key = F.col("venue_id")
+    text = key.cast("string")
+    return venues(spark, sf_dir).withColumns({
+        "external_id": F.concat(F.lit("x"), text), "description": F.when(key % 4 != 0, F.concat_ws(" at ", "name", "address")), "subcategory": F.lit(None).cast("string"),
+        "phone": F.when(key % 5 != 0, F.concat(F.lit("816"), F.lpad(text, 7, "0"))), "website": F.concat(F.lit("https://v"), text, F.lit(".example.com")),
+        "psychographic_relevance": F.when(key % 4 != 1, F.concat(F.lit('{"fun": 0.'), (key % 10).cast("string"), F.lit("}"))), "created_at": F.lit("2023-12-01").cast("timestamp_ntz"), "updated_at": F.lit("2023-12-01").cast("timestamp_ntz"),
+    })
+
+
+def events_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the rest of their columns."""
+    key = F.col("event_id").cast("string")
+    return events(spark, sf_dir).withColumns({
+        "external_id": F.concat(F.lit("e"), key), "provider": F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")), "name": F.concat(F.lit("Event "), key),
+        "end_time": F.when(F.col("event_id") % 4 != 0, F.col("start_time") + F.make_dt_interval(hours=(F.col("event_id") % 30).cast("int"))), "created_at": F.lit("2023-12-01").cast("timestamp_ntz"),
+    })
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("venue_id"), F.col("ts").cast("timestamp_ntz").alias("start_time"), F.col("event_type").alias("category"), "value", "props")
 
@@ -83,3 +103,9 @@ demographics AS (SELECT s_suppkey AS demo_id, {_PLACE.format(c="true", base="38.
 weather AS (SELECT event_id AS weather_id, ts AS timestamp, value AS temperature_f FROM events WHERE event_type = 'view'),
 runs AS (SELECT event_type AS source_name, event_id AS seq, ts AS ran_at, value < 100 AS success, value AS duration, event_id % 50 AS records FROM events),
 as_of AS (SELECT TIMESTAMP '{AS_OF}' AS now)"""
+#: The full tables in SQL.
+FULL = """vf AS (SELECT *, 'x' || venue_id AS external_id, CASE WHEN venue_id % 4 <> 0 THEN name || ' at ' || address END AS description, NULL::VARCHAR AS subcategory,
+ CASE WHEN venue_id % 5 <> 0 THEN '816' || lpad(venue_id::VARCHAR, 7, '0') END AS phone, 'https://v' || venue_id || '.example.com' AS website,
+ CASE WHEN venue_id % 4 <> 1 THEN '{"fun": 0.' || (venue_id % 10) || '}' END AS psychographic_relevance, TIMESTAMP '2023-12-01' AS created_at, TIMESTAMP '2023-12-01' AS updated_at FROM venues),
+ef AS (SELECT *, 'e' || event_id AS external_id, 'p' || (event_id % 3) AS provider, 'Event ' || event_id AS name,
+ CASE WHEN event_id % 4 <> 0 THEN start_time + to_hours((event_id % 30)::INT) END AS end_time, TIMESTAMP '2023-12-01' AS created_at FROM ev)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from civitas.operators.merge import Snapshots, upsert
+from civitas.operators.store import latest
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -17,12 +18,15 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "category", "n", "value")
 
 
-def upsert_stream(events: DataFrame, store: Snapshots, keys: list[str], checkpoint: str) -> StreamingQuery:
+def upsert_stream(events: DataFrame, store: Snapshots, keys: list[str], checkpoint: str, time: str | None = None) -> StreamingQuery:
     """Each micro-batch merged into the store as one version numbered by the batch, so that a batch
-    that is run again after a failure replaces nothing that it has not written. One row of a key."""
+    that is run again after a failure replaces nothing that it has not written. Of a key the latest
+    row by ``time`` counts, ties to the row that sorts last; an empty store starts with the first batch."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = store.read()
-        store.commit(upsert(held, batch.dropDuplicates(keys), keys), number + 1)
+        order = [F.desc(c) for c in ([time] if time else []) + [c for c in batch.columns if c != time]]
+        rows = latest(batch, keys, order)
+        held = store.read() if store.versions().limit(1).count() else batch.limit(0)
+        store.commit(upsert(held, rows, keys), number + 1)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

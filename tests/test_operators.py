@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +229,46 @@ def test_gbt_query_trains_with_all_folds_and_stops_by_the_fold(spark, sf, monkey
     with pytest.raises(StopIteration):
         registry.QUERIES["gbt_train_predict"](spark, sf)
     assert seen == [((), {})]
+
+
+def test_exact_quantile_narrows_to_the_value(spark):
+    from civitas.operators.quantile import exact_quantile
+
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=5000), np.repeat([1.0, 2.0, 3.0], 2000), rng.integers(0, 5, 5001).astype(float), np.array([7.0])):
+        df = spark.createDataFrame(pa.table({"x": x}))
+        for q in (0.0, 0.3, 0.8, 1.0):
+            assert abs(exact_quantile(df, "x", q, few=50) - np.quantile(x, q)) < 1e-12
+    assert exact_quantile(df.where("false"), "x", 0.5) is None
+
+
+def test_a_reader_refuses_filters_that_it_does_not_know(spark):
+    from civitas.operators import reader
+
+    df = spark.createDataFrame([(1, "bar")], "venue_id long, category string")
+    with pytest.raises(ValueError, match="unknown filters: city"):
+        reader.get_venues(df, {"city": "x"})
+    assert reader.get_venues(df, {"category": None}).count() == 1
+
+
+def test_an_empty_store_has_no_version(spark, tmp_path):
+    from civitas.operators.merge import Snapshots
+
+    store = Snapshots(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        store.read()
+    store.commit(spark.range(2).toDF("x"), 1)
+    assert store.read().count() == 2
+
+
+def test_collection_falls_back_and_models_age(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from civitas.operators import collect, model
+
+    own = spark.createDataFrame([("a", 1)], "provider string, n int")
+    more = spark.createDataFrame([("a", 2), ("b", 3)], "provider string, n int")
+    assert sorted(r.n for r in collect.with_fallback(own, more).collect()) == [1, 3]
+    now = F.lit("2024-01-15").cast("timestamp_ntz")
+    ages = spark.createDataFrame([("2024-01-10",), ("2024-01-01",), (None,)], "t string").select(model.is_recent(F.col("t").cast("timestamp_ntz"), now).alias("r"))
+    assert [r.r for r in ages.collect()] == [True, False, False]
