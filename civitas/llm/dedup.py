@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     signed = staged(signatures(docs), "signatures")
     some = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    sets = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "sets")
+    classes, copied = sets.select("set_key", "node"), sets.where(F.col("rows") > HOT).select("set_key")
     first = some.groupBy("doc_id", "set_key").agg(F.min("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"))
     nodes = staged(classes.join(first.withColumnRenamed("doc_id", "node"), ["set_key", "node"]), "nodes")
     shared, pairs = hub_pairs(bucket_members(nodes))
@@ -291,7 +292,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = staged(confirmed(left, docs), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
-    rows = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(found, "node", "left")
+    rows = hot_join(signed.select("doc_id", "n_shingles", "set_key"), classes, "set_key", copied, "left")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").count().where(F.col("count") > HOT).select("node")
+    rows = hot_join(rows, found, "node", nodes, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

@@ -38,6 +38,29 @@ SENTENCES = {
     "cc-by-nc-ref": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc0-ref": ["licensed under cc0 1 0", "this work is dedicated to the public domain"],
     "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "agpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl-ref": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3", "released under the gnu affero general public license version 3"],
+    "gpl2-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl2-only": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"],
+    "lgpl21-free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3-free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "library-hope": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "bsd2-ref": ["licensed under the bsd 2 clause license", "released under the bsd 2 clause license", "this work is licensed under the bsd 2 clause license"],
+    "bsd-neither": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "epl2-ref": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "licensed under the eclipse public license 2 0", "licensed under the eclipse public license version 2 0"],
+    "boost-ref": ["distributed under the boost software license version 1 0", "licensed under the boost software license version 1 0"],
+    "zlib-asis": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "zlib-ref": ["licensed under the zlib license", "released under the zlib license"],
+    "0bsd-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-ref": ["licensed under the isc license", "released under the isc license", "this work is licensed under the isc license"],
+    "cc-by-nd-ref": ["licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "cc-by-nc-sa-ref": ["licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
+    "cc-by-nc-nd-ref": ["licensed under cc by nc nd 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"],
+    "artistic-ref": ["licensed under the artistic license 2 0", "released under the artistic license 2 0"],
+    "ofl-ref": ["this font software is licensed under the sil open font license version 1 1", "licensed under the sil open font license version 1 1"],
+    "eupl-ref": ["licensed under the eupl version 1 2", "licensed under the european union public license version 1 2"],
+    "wtfpl-ref": ["licensed under the wtfpl", "released under the wtfpl"],
     "unlicense-ref": ["this is free and unencumbered software released into the public domain"],
 }
 # Licence rules in order: licence, rule, identifiers in sequence.
@@ -47,10 +70,18 @@ RULES = (
     ("MIT", "mit-text", ("mit-grant", "mit-notice")),
     ("MIT", "mit-reference", ("mit-ref",)),
     ("GPL-3.0-or-later", "gpl-notice", ("gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", "gpl2-notice", ("gpl2-free", "gpl-hope")),
+    ("GPL-2.0-only", "gpl2-only-notice", ("gpl2-only", "gpl-hope")),
+    ("AGPL-3.0-or-later", "agpl-notice", ("agpl-free", "gpl-hope")),
+    ("AGPL-3.0", "agpl-reference", ("agpl-ref",)),
+    ("LGPL-2.1-or-later", "lgpl21-notice", ("lgpl21-free", "library-hope")),
+    ("LGPL-3.0-or-later", "lgpl3-notice", ("lgpl3-free", "library-hope")),
     ("GPL-3.0", "gpl3-reference", ("gpl3-ref",)),
     ("GPL-2.0", "gpl2-reference", ("gpl2-ref",)),
     ("LGPL-3.0", "lgpl-reference", ("lgpl-ref",)),
+    ("BSD-3-Clause", "bsd3-text", ("bsd-source", "bsd-binary", "bsd-neither")),
     ("BSD-3-Clause", "bsd-text", ("bsd-source", "bsd-binary")),
+    ("BSD-2-Clause", "bsd2-reference", ("bsd2-ref",)),
     ("BSD-3-Clause", "bsd-reference", ("bsd-ref",)),
     ("MPL-2.0", "mpl-reference", ("mpl-ref",)),
     ("CC-BY-4.0", "cc-by-reference", ("cc-by-ref",)),
@@ -58,6 +89,19 @@ RULES = (
     ("CC-BY-NC-4.0", "cc-by-nc-reference", ("cc-by-nc-ref",)),
     ("CC0-1.0", "cc0-reference", ("cc0-ref",)),
     ("ISC", "isc-text", ("isc-grant",)),
+    ("ISC", "isc-reference", ("isc-ref",)),
+    ("0BSD", "0bsd-text", ("0bsd-grant",)),
+    ("Zlib", "zlib-text", ("zlib-asis", "zlib-grant")),
+    ("Zlib", "zlib-reference", ("zlib-ref",)),
+    ("EPL-2.0", "epl2-reference", ("epl2-ref",)),
+    ("BSL-1.0", "boost-reference", ("boost-ref",)),
+    ("CC-BY-ND-4.0", "cc-by-nd-reference", ("cc-by-nd-ref",)),
+    ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-reference", ("cc-by-nc-sa-ref",)),
+    ("CC-BY-NC-ND-4.0", "cc-by-nc-nd-reference", ("cc-by-nc-nd-ref",)),
+    ("Artistic-2.0", "artistic-reference", ("artistic-ref",)),
+    ("OFL-1.1", "ofl-reference", ("ofl-ref",)),
+    ("EUPL-1.2", "eupl-reference", ("eupl-ref",)),
+    ("WTFPL", "wtfpl-reference", ("wtfpl-ref",)),
     ("Unlicense", "unlicense-reference", ("unlicense-ref",)),
 )
 

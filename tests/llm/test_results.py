@@ -343,8 +343,23 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
 }
-FULL = {"MIT": "mit-text", "BSD-3-Clause": "bsd-text", "Apache-2.0": "apache-notice", "GPL-3.0-or-later": "gpl-notice", "MPL-2.0": "mpl-reference", "ISC": "isc-text"}
+FULL = {"LGPL-2.1-or-later": "lgpl21-notice", "Zlib": "zlib-text", "MIT": "mit-text", "BSD-3-Clause": "bsd-text", "Apache-2.0": "apache-notice", "GPL-3.0-or-later": "gpl-notice", "MPL-2.0": "mpl-reference", "ISC": "isc-text"}
 
 
 @pytest.mark.parametrize("leader", ["", " * ", "// ", "# ", "dnl "])
