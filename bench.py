@@ -10,7 +10,7 @@ from statistics import median
 from civitas.plans.registry import QUERIES
 from civitas.session import session
 
-HEADLINE = ["heatmap_grid", "nearest_demographic", "master_events", "master_venues", "high_value_predictions", "collection_health", "data_summary", "top20_predictions", "feature_matrix", "event_adjustment", "upsert_merge", "status_rollup", "validate_scores", "html_strip", "json_clean", "hourly_counts"]
+HEADLINE = ["heatmap_grid", "nearest_demographic", "master_events", "master_venues", "high_value_predictions", "collection_health", "data_summary", "top20_predictions", "feature_matrix", "event_adjustment", "upsert_merge", "status_rollup", "validate_scores", "html_strip", "json_clean", "hourly_counts", "master_venue_view", "high_value_view", "collection_health_view", "upsert_venues", "places_json", "map_layers"]
 
 
 def main() -> None:
