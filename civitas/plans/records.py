@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from civitas.functions import text as tx
 from civitas.operators import collect, joins, merge, model, reader, store
 from civitas.plans.queries import _BEST, _MATRIX, _NEAREST, _nearest, _sql_scores, best_prediction_per_venue, query, r4
 from civitas.sources import bridge as b
+from civitas.sources import catalog
 
 
 def full(sql: str):
@@ -403,13 +402,9 @@ def map_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(predicted)
 
 
-_TABLES = ("venues", "events", "predictions", "demographics", "weather", "runs")
-
-
 @query("SELECT 'venues' AS name, count(*) AS records FROM venues UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'predictions', count(*) FROM predictions UNION ALL SELECT 'demographics', count(*) FROM demographics UNION ALL SELECT 'weather', count(*) FROM weather UNION ALL SELECT 'runs', count(*) FROM runs")
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [getattr(b, name)(spark, sf_dir).agg(F.count("*").alias("records")).select(F.lit(name).alias("name"), "records") for name in _TABLES]
-    return reduce(DataFrame.unionByName, each)
+    return catalog.counts(spark, sf_dir)
 
 
 @query(f"SELECT event_id, round(p.prediction_value, 4) AS base, round(p.confidence_score * 0.9::DOUBLE, 4) AS confidence_score FROM ev LEFT JOIN (SELECT b.venue_id, b.prediction_value, confidence_score FROM ({_BEST}) b JOIN predictions USING (prediction_id)) p USING (venue_id)")

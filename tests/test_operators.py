@@ -272,3 +272,16 @@ def test_collection_falls_back_and_models_age(spark, tmp_path):
     now = F.lit("2024-01-15").cast("timestamp_ntz")
     ages = spark.createDataFrame([("2024-01-10",), ("2024-01-01",), (None,)], "t string").select(model.is_recent(F.col("t").cast("timestamp_ntz"), now).alias("r"))
     assert [r.r for r in ages.collect()] == [True, False, False]
+
+
+def test_the_catalog_lists_tables_and_seeds_what_is_absent(spark, sf):
+    from civitas.sources import catalog
+
+    names = catalog.register(spark, sf, "seen_")
+    assert spark.sql("SELECT count(*) AS n FROM seen_venues").first().n == {r.name: r.records for r in catalog.counts(spark, sf).collect()}["venues"]
+    assert {f"seen_{r.table_name}" for r in catalog.columns(spark, sf).collect()} == set(names)
+    config = spark.createDataFrame([("a", "9", "integer")], catalog.CONFIG)
+    found = {r.config_key: (r.config_value, r.config_type) for r in catalog.seed_config(config, {"a": 1, "b": 0.5, "c": True, "d": "x"}).collect()}
+    assert found == {"a": ("9", "integer"), "b": ("0.5", "float"), "c": ("True", "boolean"), "d": ("x", "string")}
+    sources = spark.createDataFrame([("own", "api", False, 5, 1)], catalog.SOURCES)
+    assert sorted((r.source_name, r.is_enabled) for r in catalog.seed_sources(sources, {"own": "api", "new": "scraped"}).collect()) == [("new", True), ("own", False)]
