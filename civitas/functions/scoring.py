@@ -65,6 +65,24 @@ def label(rating: Column, category: Column, lat: Column, lng: Column, noise: Col
     return F.when(F.coalesce(F.round(p, 9) > 0.5, F.lit(False)), 1).otherwise(0)
 
 
+def noise(key: Column, width: float, seed: int = 42) -> Column:
+    """A number within ``width`` of zero that follows from key and seed: the same in every run, whatever the partitions."""
+    return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 - 0.5) * 2 * width
+
+
+def event_popup() -> Column:
+    """What an event's marker shows, of name, venue_name, category, start_time and provider."""
+    shown = {"name": "Unknown Event", "venue_name": "Unknown", "category": "Unknown", "start_time": "TBD", "provider": "Unknown"}
+    return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit(other)).alias(c) for c, other in shown.items()))
+
+
+def prediction_popup() -> Column:
+    """What a prediction's marker shows, of prediction_value, confidence_score, prediction_type and model_version."""
+    value = F.format_string("%.3f", F.coalesce("prediction_value", F.lit(0.5)))
+    other = {"confidence_score": "N/A", "prediction_type": "Unknown", "model_version": "Unknown"}
+    return F.struct(value.alias("prediction_value"), *(F.coalesce(F.col(c).cast("string"), F.lit(o)).alias(c) for c, o in other.items()))
+
+
 def event_adjustment(category: Column, start: Column) -> Column:
     """Category factor times hour factor, at most 2; hour 22 is still evening."""
     h = F.hour(start)

@@ -66,6 +66,23 @@ def parse_time(day: Column, time: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(both, F.lit(f)) for f in FORMATS), F.try_to_timestamp(ymd, F.lit("yyyy-M-d")))
 
 
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def fuzzy_time(text: Column, now: Column) -> Column:
+    """The time that a text names somewhere: a month by name and a day, in the year given or else now's, and
+    an hour with minutes if there is one (else midnight). Null where no such date is found."""
+    date = rf"(?i)\b({'|'.join(MONTHS)})[a-z]*\.? +(\d{{1,2}})(?:st|nd|rd|th)?\b(?:,? +(\d{{4}})\b)?"
+    clock = r"(?i)\b(\d{1,2}):(\d{2})(?:\s*([ap])\.?m)?"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, date, 1)))
+    year = F.coalesce(F.nullif(F.regexp_extract(text, date, 3), F.lit("")), F.year(now).cast("string"))
+    day = F.try_to_timestamp(F.concat_ws("-", year, month.cast("string"), F.regexp_extract(text, date, 2)), F.lit("yyyy-M-d"))
+    hour, half = F.regexp_extract(text, clock, 1).try_cast("int"), F.lower(F.regexp_extract(text, clock, 3))
+    hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+    minutes = F.coalesce(hour * 60 + F.regexp_extract(text, clock, 2).try_cast("int"), F.lit(0))
+    return F.when(month > 0, day.cast("timestamp_ntz") + F.make_dt_interval(mins=minutes))
+
+
 def absolute_url(href: Column, page: Column) -> Column:
     """A link made absolute against the page's scheme and host."""
     root = F.regexp_extract(page, r"^(https?://[^/]+)", 1)

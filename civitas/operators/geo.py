@@ -72,5 +72,15 @@ def write_geojson(df: DataFrame, path: str) -> None:
     features(df).select(F.to_json("feature").alias("value")).write.mode("overwrite").text(path)
 
 
+def feature_collections(df: DataFrame, per: int = 10_000) -> DataFrame:
+    """(part, features, geojson): the features of ``df`` in collections of about ``per``, each a GeoJSON
+    document of its own, so that none is gathered whole."""
+    each = features(df)
+    parts = max(1, -(-each.count() // per))
+    part = F.pmod(F.xxhash64(F.to_json("feature")), F.lit(parts)).cast("int").alias("part")
+    grouped = each.groupBy(part).agg(F.collect_list("feature").alias("f"))
+    return grouped.select("part", F.size("f").alias("features"), F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("f").alias("features"))).alias("geojson"))
+
+
 def in_bounds(b: Bounds, lat: Column | None = None, lng: Column | None = None) -> Column:
     return (F.col("lat") if lat is None else lat).between(b.south, b.north) & (F.col("lng") if lng is None else lng).between(b.west, b.east)

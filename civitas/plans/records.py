@@ -402,6 +402,20 @@ def map_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(predicted)
 
 
+@full("SELECT event_id, e.name, coalesce(v.name, 'Unknown') AS venue_name, e.category, e.provider, strftime(start_time, '%Y-%m-%d') AS day FROM ef e LEFT JOIN vf v USING (venue_id)")
+def event_popups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = b.venues(spark, sf_dir).select("venue_id", F.col("name").alias("venue_name"))
+    p = b.events_full(spark, sf_dir).join(named, "venue_id", "left").select("event_id", sc.event_popup().alias("p"))
+    return p.select("event_id", "p.name", "p.venue_name", "p.category", "p.provider", F.substring("p.start_time", 1, 10).alias("day"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('minute', start_time) WHEN 1 THEN date_trunc('day', start_time) END AS parsed FROM ev")
+def date_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, kind = F.col("start_time"), F.col("event_id") % 3
+    text = F.when(kind == 0, F.concat(F.lit("Doors open "), F.date_format(at, "EEEE, MMM d"), F.lit(" at "), F.date_format(at, "h:mm a"))).when(kind == 1, F.concat(F.lit("on "), F.date_format(at, "MMMM d, yyyy"), F.lit(" all day"))).otherwise("every day")
+    return b.events(spark, sf_dir).select("event_id", tx.fuzzy_time(text, b.as_of()).alias("parsed"))
+
+
 @query("SELECT 'venues' AS name, count(*) AS records FROM venues UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'predictions', count(*) FROM predictions UNION ALL SELECT 'demographics', count(*) FROM demographics UNION ALL SELECT 'weather', count(*) FROM weather UNION ALL SELECT 'runs', count(*) FROM runs")
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.counts(spark, sf_dir)

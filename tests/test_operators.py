@@ -285,3 +285,15 @@ def test_the_catalog_lists_tables_and_seeds_what_is_absent(spark, sf):
     assert found == {"a": ("9", "integer"), "b": ("0.5", "float"), "c": ("True", "boolean"), "d": ("x", "string")}
     sources = spark.createDataFrame([("own", "api", False, 5, 1)], catalog.SOURCES)
     assert sorted((r.source_name, r.is_enabled) for r in catalog.seed_sources(sources, {"own": "api", "new": "scraped"}).collect()) == [("new", True), ("own", False)]
+
+
+def test_noise_follows_from_key_and_seed_and_collections_hold_all_features(spark):
+    import json
+
+    df = spark.range(500).select(F.col("id").alias("venue_id"), (F.col("id") / 10).alias("lat"), F.lit(1.0).alias("lng"))
+    one = {r.venue_id: r.n for r in df.select("venue_id", sc.noise(F.col("venue_id"), 0.1).alias("n")).collect()}
+    again = {r.venue_id: r.n for r in df.repartition(7).select("venue_id", sc.noise(F.col("venue_id"), 0.1).alias("n")).collect()}
+    assert one == again and all(abs(n) <= 0.1 for n in one.values()) and len(set(one.values())) > 490
+    parts = geo.feature_collections(df, 100).collect()
+    held = [f["properties"]["venue_id"] for r in parts for f in json.loads(r.geojson)["features"]]
+    assert sorted(held) == list(range(500)) and len(parts) > 1 and sum(r.features for r in parts) == 500
