@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import tempfile
-import uuid
 import weakref
 from collections.abc import Iterable, Iterator
 from itertools import filterfalse
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitas.staging import drop_staged, shared_dir, staged  # noqa: F401
+
 #: Rows and bytes of an Arrow batch handed to a Python worker: documents are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
-_STAGED: list[str] = []
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -33,37 +35,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a local one is set if all
-    of Spark runs on this machine; on a cluster that is an error, as executors don't see each other's folders."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "/tmp/civitas-checkpoints"
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/civitas/{re.sub('[^a-z0-9_]', '_', name.lower())}-{uuid.uuid4().hex}"
-    _STAGED.append(at)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables that this process has staged; returns how many. To be called when results
-    that read them are written: a result is computed from staged tables when it is read."""
-    dropped = 0
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return dropped
-
-
 def named(column: str, of: str | None = None) -> Column:
     """The column of exactly this name, dots included; with ``of``, the field of that struct column."""
     return F.col(of)[column] if of else F.col("`" + column.replace("`", "``") + "`")
@@ -109,6 +80,36 @@ def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str |
         yield part
 
 
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Where a row of ``columns`` (without nulls) differs from the one before it; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in columns], 0)
+    return out
+
+
+def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each group of equal values in the first ``keys`` columns (without nulls), of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = np.flatnonzero(changes(*batch.columns[:keys])).tolist()
+        if held and all(held[0].column(k)[0] == batch.column(k)[0] for k in range(keys)):
+            starts[0] = -1  # goes on with the group that is held
+        for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
+            if begin >= 0 and held:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch[max(begin, 0) : end])
+    if held:
+        yield pa.concat_batches(held)
+
+
+def finite(embedding: Column) -> Column:
+    """Whether an array of numbers has only finite components, none null, and at least one; never null."""
+    return F.coalesce((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 class Memo(dict):
     """A bounded memo of ``of(key)``: emptied when full, so a worker's memory has a bound."""
 

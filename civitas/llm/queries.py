@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civitas.llm import licenses, secrets
+from civitas.llm import clusters, divergence, licenses, secrets, vector_dedup
 from civitas.llm.decontaminate import op3_decontaminate
 from civitas.llm.dedup import op2_near_duplicates
 from civitas.llm.language import op1_language_id
@@ -23,5 +23,14 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_embedding_duplicates": vector_dedup.op12_embedding_duplicates,
+    "op13_clusters": clusters.op13_clusters,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_secret_scan": secrets.ORACLE,
+    "op8_licenses": licenses.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_embedding_duplicates": vector_dedup.ORACLE,
+    "op13_clusters": clusters.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secrets.ORACLE, "op8_licenses": licenses.ORACLE}
