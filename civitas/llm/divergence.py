@@ -3,7 +3,8 @@
 Tasks count terms of the documents they read and give a row for each (lang, term, source), with the
 first document of those counted. These rows are sorted into ranges of (lang, term, source, document), so that even
 a term of every document is in as many tasks as its rows need, and a run-length scan gives document frequencies
-and counts. A second scan, over runs of the kept terms, gives partial sums for pairs of sources.
+and counts. A second scan, over runs of the kept terms, gives partial sums for pairs of sources. While they are sorted, lang
+and term are one string, divided by a character that no term has, so that most rows differ in their first bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from civitas.llm.common import changes, documents, grouped, staged, tune
 #: Documents of a language that a term must be in, terms listed of a group, added to each count.
 LEAST_DOCS, TERMS, ADDED = 30, 50, 5
 #: Entries that a task counts before it gives them on, sources of a block, terms of a part, terms held as a matrix.
-HELD, BLOCK, PER_PART, AT_ONCE = 300_000, 256, 4096, 256
+HELD, BLOCK, PER_PART, AT_ONCE = 600_000, 256, 4096, 256
 #: Groups (lang, source) up to which they are broadcast.
 MOST_BROADCAST = 50_000
 
@@ -34,14 +35,15 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, document, docs, n): how many documents hold a term and how often, for parts
-    of ``docs``; ``document`` is the first of the part's documents."""
+    """(key, source, document, docs, n): how many documents hold a term and how often, for parts of ``docs``; key: lang,
+    a character U+0000 and the term; ``document``: the first of the part's documents."""
 
     def rows(counts: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (first, held, n) in counts.items():
-            names = list(n)
+            begin, names = lang.encode() + b"\0", list(n)
             same = lambda x, t: pa.array([x] * len(names), t)
-            yield pa.record_batch([same(lang, pa.string()), pa.array(names, pa.binary()).cast(pa.string()), same(source, pa.string()), same(first, pa.int64()), pa.array([held[t] for t in names], pa.int64()), pa.array(list(n.values()), pa.int64())], ["lang", "term", "source", "document", "docs", "n"])
+            keys = pa.array([begin + t for t in names], pa.binary()).cast(pa.string())
+            yield pa.record_batch([keys, same(source, pa.string()), same(first, pa.int64()), pa.array([held[t] for t in names], pa.int64()), pa.array(list(n.values()), pa.int64())], ["key", "source", "document", "docs", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, entries = {}, 0
@@ -58,14 +60,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from rows(counts)
 
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(count, "lang string, term string, source string, document long, docs long, n long")
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(count, "key string, source string, document long, docs long, n long")
 
 
 def _merged(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Sorted (lang, term, source, docs, n) with one row for each source of a term."""
-    first = np.flatnonzero(changes(*rows.columns[:3]))
+    """Sorted (key, source, docs, n) with one row for each source of a key."""
+    first = np.flatnonzero(changes(*rows.columns[:2]))
     keep = pa.array(first)
-    return pa.record_batch([*(c.take(keep) for c in rows.columns[:3]), *(pa.array(np.add.reduceat(c.to_numpy(), first)) for c in rows.columns[3:])], rows.schema.names)
+    return pa.record_batch([*(c.take(keep) for c in rows.columns[:2]), *(pa.array(np.add.reduceat(c.to_numpy(), first)) for c in rows.columns[2:])], rows.schema.names)
 
 
 def runs(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -75,16 +77,16 @@ def runs(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     A run that the border of a range cuts is merged afterwards: two for each range at most.
     """
 
-    def told(rows: pa.RecordBatch, edge: np.ndarray) -> pa.RecordBatch:
+    def told(rows: pa.RecordBatch, edge: tuple[bool, bool]) -> pa.RecordBatch:
         """The runs of ``rows``, whole ones of enough documents; ``edge``: whether the first, or the last, is cut."""
         rows = _merged(rows)
-        lead = changes(*rows.columns[:2])
+        lead = changes(rows.column(0))
         first, run = np.flatnonzero(lead), np.cumsum(lead) - 1
-        docs, total = (np.add.reduceat(rows.column(k).to_numpy(), first) for k in (3, 4))
+        docs, total = (np.add.reduceat(rows.column(k).to_numpy(), first) for k in (2, 3))
         cut = np.zeros(len(first), bool)
         cut[0] |= edge[0]
         cut[-1] |= edge[1]
-        out = pa.record_batch([*rows.columns, pa.array(total[run]), pa.array(lead), pa.array(cut[run])], ["lang", "term", "source", "docs", "n", "total", "lead", "cut"])
+        out = pa.record_batch([*rows.columns, pa.array(total[run]), pa.array(lead), pa.array(cut[run])], ["key", "source", "docs", "n", "total", "lead", "cut"])
         return out.filter(pa.array((cut | (docs >= least))[run]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,21 +95,24 @@ def runs(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.concat_batches([held, batch])
-            last = int(np.flatnonzero(changes(*rows.columns[:2]))[-1])
+            last = int(np.flatnonzero(changes(rows.column(0)))[-1])
             if last:
-                yield told(rows[:last], np.array([not begun, False]))
+                yield told(rows[:last], (not begun, False))
                 begun = True
             held = _merged(rows[last:])
         if held is not None:
-            yield told(held, np.array([True, True]))
-
-    order = ["lang", "term", "source", "document"]
-    ranges = counts.repartitionByRange(*order).sortWithinPartitions(*order).select("lang", "term", "source", "docs", "n")
-    found = staged(ranges.mapInArrow(scan, "lang string, term string, source string, docs long, n long, total long, lead boolean, cut boolean"), "runs")
-    cut = found.where("cut").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    whole = cut.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.min("source").alias("least")).where(F.col("docs") >= least).drop("docs")
-    mended = cut.join(whole, ["lang", "term"]).select("lang", "term", "source", "n", "total", (F.col("source") == F.col("least")).alias("lead"))
-    return found.where("NOT cut").select("lang", "term", "source", "n", "total", "lead").unionByName(mended)
+            yield told(held, (True, True))
+
+    order = ["key", "source", "document"]
+    ranges = counts.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "source", "docs", "n")
+    found = staged(ranges.mapInArrow(scan, "key string, source string, docs long, n long, total long, lead boolean, cut boolean"), "runs")
+    cut = found.where("cut").groupBy("key", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    whole = cut.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.min("source").alias("least")).where(F.col("docs") >= least).drop("docs")
+    mended = cut.join(whole, "key").select("key", "source", "n", "total", (F.col("source") == F.col("least")).alias("lead"))
+    every = found.where("NOT cut").select("key", "source", "n", "total", "lead").unionByName(mended)
+    term = F.substring_index("key", "\0", -1)
+    lang = F.substring(F.col("key"), F.lit(1), F.char_length("key") - F.char_length(term) - 1)
+    return every.select(lang.alias("lang"), term.alias("term"), "source", "n", "total", "lead")
 
 
 def share(count: str, of: str, terms: str) -> Column:
