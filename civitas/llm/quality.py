@@ -13,19 +13,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civitas.llm.common import documents, held_out, tune
+from civitas.llm.common import documents, held_out, staged, tune
 
 #: Labelled texts of a class for its dictionary, whole, and again for the fit (about); bytes of the blocks
 #: they are cut into; a dictionary's bytes; bytes compressed at once; zstandard's level.
 SAMPLE, CUT, DICTIONARY, CHUNK, LEVEL = 2000, 512, 112_640, 1024, 3
+#: Bytes of the whole texts of a class that come to the driver for its dictionary; the first comes in any case.
+MOST_BYTES = 64 << 20
 
 
 def dictionary(blocks: list[bytes]) -> bytes:
-    """A trained dictionary, or the blocks themselves where they are too few to train on."""
+    """A trained dictionary; where the blocks are too few to train on, the blocks themselves, joined, up to its size."""
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -81,19 +83,25 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality | float:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1): about ``sample``
+    """Learn from ``docs`` (doc_id, text) and their ``labels`` (doc_id, quality 0 or 1): about ``sample``
     texts of each class for its dictionary and as many others for the fit, chosen by a hash of
-    the id. With labels of one class only or none, the share of class 1 (0.5: none)."""
+    the id; a dictionary takes whole texts in that order up to ``MOST_BYTES``. Labels of other ids than those of
+    ``docs``, and of null or empty texts, count for nothing. With labels of one class only or none, the share of class 1 (0.5: none)."""
     spark = docs.sparkSession
     tune(spark)
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0")
+    known = staged(sizes.join(known, "doc_id"), "labelled")
     counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
     rate = {q: min(0.5, sample / n) for q, n in counts.items()}
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000 / F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0])
-    chosen = known.withColumn("place", place).where("place < 2")  # about 4 * sample rows: small enough to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("length(text) > 0")
+    chosen = known.withColumn("place", place).where("place < 2")  # about 4 * sample rows: few enough to be in one window and to broadcast
+    before = F.sum("bytes").over(Window.partitionBy("quality").orderBy("place", "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("fits", (F.col("before") == 0) | (F.col("before") + F.col("bytes") <= MOST_BYTES))
+    chosen = staged(chosen.select("doc_id", "quality", "place", "fits"), "chosen").distinct()
+    texts = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(chosen), "doc_id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality | f
                     out.append(data[at : at + CUT])
             yield pa.record_batch([pa.array(quality, pa.int32()), pa.array(out, pa.binary())], ["quality", "block"])
 
-    parts = texts.where("place < 1").select("quality", "text").mapInArrow(blocks, "quality int, block binary").toArrow()
+    parts = texts.where("place < 1 AND fits").select("quality", "text").mapInArrow(blocks, "quality int, block binary").toArrow()
     own = {q: sorted(b for k, b in zip(parts["quality"].to_pylist(), parts["block"].to_pylist()) if k == q) for q in (0, 1)}
     rng = np.random.default_rng(3)
     model = Quality(*(dictionary([own[q][i] for i in rng.permutation(len(own[q]))]) for q in (1, 0)), np.zeros(3), np.ones(3), np.zeros(10))
@@ -150,6 +158,7 @@ def score(docs: DataFrame, model: Quality | float, least: float = 0.3) -> DataFr
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of all documents, by a model of the labelled ones that aren't held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
     model = fit(docs.where(~F.col("held_out")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc.doc_id", "doc.held_out", "score", "predicted")

@@ -154,6 +154,47 @@ def test_op4_tells_quality(spark, sf):
     assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.75
 
 
+def test_op4_learns_nothing_from_held_out_labels(spark, sf, tmp_path):
+    """Other labels of held-out documents, or of ids without a document, change no score."""
+    docs = [(i, ("good clear words about music " if i % 3 else "zz qq xx 1 2 ") * (5 + i % 7)) for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in docs}
+
+    def scores(label):
+        rows = [(i, label(i)) for i in range(500)]
+        spark.createDataFrame(rows, "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        return {r.doc_id: r.score for r in queries.QUERIES["op4_quality"](spark, str(tmp_path)).collect()}
+
+    for own in (lambda i: int(i % 3 > 0), lambda i: 1):
+        assert scores(own) == scores(lambda i, own=own: 1 - own(i) if out.get(i, True) else own(i))
+    assert set(scores(lambda i: int(not out.get(i, True))).values()) == {1.0}
+
+
+def test_op4_score_by_hand(spark):
+    """Sizes compressed piece by piece with zstandard, and the fitted curve."""
+    import zstandard
+
+    from civitas.llm import quality
+
+    rng = np.random.default_rng(2)
+    make = lambda own: " ".join(rng.choice(own, 80))
+    texts = [(i, make(["music", "venue", "evening", "concert"] if i % 2 else ["buy", "now", "$$$", "click"])) for i in range(300)] + [(300, ""), (301, None), (302, "é" * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(250)], "doc_id long, quality int"))
+    rows = {r.doc.doc_id: (r.score, r.predicted) for r in quality.score(docs, model).collect()}
+    for i, text in texts:
+        data, sizes = (text or "").encode(), [0, 0]
+        for k, words in enumerate((model.bad, model.good)):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = sum(len(c.compress(data[at : at + 1024])) for at in range(0, len(data), 1024))
+        x = np.array([(sizes[0] - sizes[1]) / sum(sizes), sizes[1] / len(data), math.log(len(data))] if data else [0, 0, 0])
+        z = np.clip((x - model.middle) / model.spread, -4, 4)
+        terms = [*z, *(z * z), z[1] * z[0], z[2] * z[0], z[2] * z[1], 1]
+        expected = 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(terms, model.weights))))))
+        assert math.isclose(rows[i][0], expected, rel_tol=1e-9) and rows[i][1] == (expected >= 0.3)
+    assert np.mean([rows[i][0] for i in range(251, 300, 2)]) > 0.9 > 0.1 > np.mean([rows[i][0] for i in range(250, 300, 2)])
+
+
 def test_op5_base(spark, sf, docs):
     tokens = {d["doc_id"]: [*words(d["text"]), b""] for d in docs}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
