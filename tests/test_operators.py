@@ -1,5 +1,6 @@
 """Operators on small tables whose results are known."""
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -297,3 +298,48 @@ def test_noise_follows_from_key_and_seed_and_collections_hold_all_features(spark
     parts = geo.feature_collections(df, 100).collect()
     held = [f["properties"]["venue_id"] for r in parts for f in json.loads(r.geojson)["features"]]
     assert sorted(held) == list(range(500)) and len(parts) > 1 and sum(r.features for r in parts) == 500
+
+
+@pytest.mark.parametrize("text,at", [
+    ("2025-12-15 19:30:00", datetime(2025, 12, 15, 19, 30)), ("2025-12-15T19:30:00.250Z", datetime(2025, 12, 15, 19, 30, 0, 250000)), ("Dec 15, 2025", datetime(2025, 12, 15)), ("15 December 2025", datetime(2025, 12, 15)),
+    ("December 15 2025", datetime(2025, 12, 15)), ("12-15-2025", datetime(2025, 12, 15)), ("12/15/25", datetime(2025, 12, 15)), ("Mon, 15 Dec 2025", datetime(2025, 12, 15)), ("15/12/2025", datetime(2025, 12, 15)),
+    ("Doors open Friday, Dec 5 at 7:30 PM", datetime(2025, 12, 5, 19, 30)), ("friday 8 p.m.", datetime(2025, 11, 21, 20)), ("thursday", datetime(2025, 11, 20)), ("7:30 PM", datetime(2025, 11, 20, 19, 30)), ("12:05 am", datetime(2025, 11, 20, 0, 5)),
+    ("February 2025", datetime(2025, 2, 20)), ("20251215T193000", datetime(2025, 12, 15, 19, 30)), ("3/4", datetime(2025, 3, 4)), ("the 4th of July 2026", datetime(2026, 7, 4)), ("May 5 '26", datetime(2026, 5, 5)), ("1. Jan. 1999", datetime(1999, 1, 1)),
+    ("Sept 3rd, 2025, 19:30", datetime(2025, 9, 3, 19, 30)), ("1/2/80", datetime(1980, 1, 2)), ("Dec 15 19:30", datetime(2025, 12, 15, 19, 30)), ("Feb 30 2025", None), ("every day", None), ("mayor 5", None), ("25:70", None), ("", None), (None, None),
+])
+def test_times_as_people_write_them(spark, text, at):
+    now = F.lit(datetime(2025, 11, 20, 10))
+    assert spark.createDataFrame([(text,)], "t string").select(tx.flexible_time(F.col("t"), now).alias("at")).first().at == at
+
+
+@pytest.mark.parametrize("day,time,at", [("2025-12-15T18:00", "8pm", datetime(2025, 12, 15, 20)), ("2025-12-15 18:00", "soon", datetime(2025, 12, 15, 18)), ("2025-12-15T18:00:00", None, datetime(2025, 12, 15, 18))])
+def test_a_time_that_is_there_stays(spark, day, time, at):
+    row = spark.createDataFrame([(day, time)], "d string, t string").select(tx.parse_time(F.col("d"), F.col("t")).cast("timestamp_ntz").alias("at")).first()
+    assert row.at == at
+
+
+def test_damaged_answers_give_what_a_json_parser_gives_of_whole_ones(spark):
+    """Random values full of quotes, commas, braces and escapes; commas too many, and single quotes around some."""
+    import json
+
+    rng = random.Random(5)
+    pieces = ["\"", "'", ",", "}", "]", "{", "[", ":", "\\", "\n", "é", "a", "Jazz", " ", "x: 'y', z", ",}", "it's", "\\\"", "\t"]
+    value = lambda: "".join(rng.choice(pieces) for _ in range(rng.randrange(8))) + "end"
+    rows, expected = [], []
+    for at in range(400):
+        events = [{"title": value(), "date": value(), "price": value()} for _ in range(rng.randrange(1, 4))]
+        gap = lambda: rng.choice(["", " ", "\n", ","]) * (at % 4 > 0)
+        quoted = lambda key: f"'{key}'" if at % 4 == 2 else json.dumps(key)
+        each = ["{" + ", ".join(f"{quoted(k)} : {json.dumps(v)}" for k, v in e.items()) + gap() + "}" for e in events]
+        rows.append((at, "[" + ",".join(each) + gap() + "]" + (" trailing words" if at % 4 == 3 else "")))
+        expected.append([tuple(e.values()) for e in events])
+    found = {r.at: [(e.title, e.date, e.price) for e in r.e] for r in spark.createDataFrame(rows, "at int, a string").select("at", tx.parse_events(F.col("a")).alias("e")).collect()}
+    assert [found[at] for at in range(400)] == expected
+
+
+@pytest.mark.parametrize("answer,titles", [
+    ('[{"title": "x: \'y\', z",}]', ["x: 'y', z"]), ("[{'title': 'say \"hi\", it's me'}]", ['say "hi", it\'s me']), ('[{"title": "The "Best" Show",},]', ['The "Best" Show']), ('go [{"title": "a {b} c",} and {"title": "d"} and {"title": ]', ["a {b} c", "d"]),
+    ('[{"title": "' + 'long \\" text, ' * 20_000 + '",}]', ['long " text, ' * 20_000]), ("[{'title': 'un", []), ("[", []),
+])
+def test_values_keep_their_quotes_and_braces(spark, answer, titles):
+    assert [e.title for e in spark.createDataFrame([(answer,)], "a string").select(tx.parse_events(F.col("a")).alias("e")).first().e] == titles
