@@ -28,10 +28,10 @@ def places(answers: DataFrame) -> DataFrame:
 def page_venues(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """A venue row for each acceptable page (page_id, url, html) of a registered source (source_name, host,
     category, is_enabled): its title as the name, its meta description or first paragraph, an id that
-    follows from source and name. Sources are few: they are broadcast."""
+    follows from source and name. Spark broadcasts the sources where they are few enough; else a host with many pages is split by its skew join."""
     host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
     own = pages.where(text.acceptable(F.col("html"), LEAST)).withColumn("host", host)
-    rows = own.join(F.broadcast(sources.where("is_enabled")), "host").withColumn("name", text.page_title(F.col("html"))).where("name <> ''")
+    rows = own.join(sources.where("is_enabled"), "host").withColumn("name", text.page_title(F.col("html"))).where("name <> ''")
     rows = rows.select(F.concat_ws("_", "source_name", slug(F.col("name"))).alias("external_id"), F.col("source_name").alias("provider"), "name", text.meta_description(F.col("html")).alias("description"), "category", F.col("url").alias("website"), "page_id")
     return latest(rows, ["external_id", "provider"], [F.col("page_id")])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from civitas.functions import quality as q
 from civitas.functions import scoring as sc
 from civitas.functions import text as tx
-from civitas.operators import geo, joins, merge, model
+from civitas.operators import geo, joins, merge, model, ranges
 from civitas.operators.quantile import exact_quantile
 from civitas.sources import bridge as b
 
@@ -136,11 +136,12 @@ def nearest_demographic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.event_id, count(w.weather_id) AS forecasts, round(sum(w.temperature_f) * 100)::BIGINT / (100 * nullif(count(w.weather_id), 0)) AS mean_temperature FROM ev e LEFT JOIN weather w ON abs(epoch(e.start_time) - epoch(w.timestamp)) < 3600 WHERE e.start_time >= TIMESTAMP '2024-01-15' GROUP BY 1")
 def master_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.events(spark, sf_dir).where(F.col("start_time") >= b.as_of()).select("event_id", _micro("start_time").alias("e_at"))
-    w = b.weather(spark, sf_dir).select("weather_id", "temperature_f", _micro("timestamp").alias("w_at"))
-    pairs = joins.band_join(e, w, [("e_at", "w_at", 3600)])
-    cents = F.round(F.sum("temperature_f") * 100).cast("long")  # whole cents: no order of summing shows in the mean
-    return pairs.groupBy("event_id").agg(F.count("weather_id").alias("forecasts"), F.try_divide(cents, 100 * F.count("weather_id")).alias("mean_temperature"))
+    micro = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = b.events(spark, sf_dir).where(F.col("start_time") >= b.as_of()).select("event_id", micro("start_time").alias("at"))
+    w = b.weather(spark, sf_dir).select(micro("timestamp").alias("w_at"), F.round(F.col("temperature_f") * 1_000_000).cast("long").alias("millionths"))
+    found = ranges.totals_within(e, w, "at", "w_at", 3_600_000_000, {"millionths": "millionths"})
+    cents = F.round(F.col("millionths") / 10_000).cast("long")  # whole cents: no order of summing shows in the mean
+    return found.select("event_id", F.col("matches").alias("forecasts"), F.try_divide(cents, 100 * F.col("matches")).alias("mean_temperature"))
 
 
 def _micro(c: str):
@@ -149,9 +150,8 @@ def _micro(c: str):
 
 @query("SELECT event_id FROM ev, as_of WHERE start_time < now - INTERVAL 10 DAY AND venue_id NOT IN (SELECT venue_id FROM venues WHERE lat IS NOT NULL)")
 def unlocated_old_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b.events(spark, sf_dir).where(F.col("start_time") < b.as_of() - F.expr("INTERVAL 10 DAYS")).createOrReplaceTempView("civitas_old_events")
-    b.venues(spark, sf_dir).where("lat IS NOT NULL").createOrReplaceTempView("civitas_located")
-    return spark.sql("SELECT event_id FROM civitas_old_events WHERE venue_id NOT IN (SELECT venue_id FROM civitas_located)")
+    old = b.events(spark, sf_dir).where((F.col("start_time") < b.as_of() - F.expr("INTERVAL 10 DAYS")) & F.col("venue_id").isNotNull())
+    return old.join(b.venues(spark, sf_dir).where("lat IS NOT NULL").select("venue_id"), "venue_id", "left_anti").select("event_id")
 
 
 # Views

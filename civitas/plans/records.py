@@ -94,12 +94,12 @@ def master_venue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @full("""SELECT e.event_id, e.external_id, e.provider, e.name, e.category, start_time, end_time, v.name AS venue_name, round(lat, 4) AS lat, round(lng, 4) AS lng, v.address AS venue_address, v.category AS venue_category, v.avg_rating AS venue_rating, w.weather_id, w.temperature_f
-FROM ef e LEFT JOIN vf v USING (venue_id) LEFT JOIN weather w ON weather_id % 20 = 0 AND abs(epoch(start_time) - epoch(w.timestamp)) < 3600 WHERE start_time >= TIMESTAMP '2024-01-15'""")
+FROM ef e LEFT JOIN vf v USING (venue_id) LEFT JOIN weather w ON is_forecast AND abs(epoch(start_time) - epoch(w.timestamp)) < 3600 WHERE start_time >= TIMESTAMP '2024-01-15'""")
 def master_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     micro = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
     e = b.events_full(spark, sf_dir).where(F.col("start_time") >= b.as_of()).select("event_id", "venue_id", "external_id", "provider", "name", "category", "start_time", "end_time", micro("start_time").alias("e_at"))
-    w = b.weather(spark, sf_dir).where("weather_id % 20 = 0").select("weather_id", "temperature_f", micro("timestamp").alias("w_at"))  # those that are forecasts
+    w = b.weather(spark, sf_dir).where("is_forecast").select("weather_id", "temperature_f", micro("timestamp").alias("w_at"))
     v = b.venues_full(spark, sf_dir).select("venue_id", F.col("name").alias("venue_name"), r4("lat", "lat"), r4("lng", "lng"), F.col("address").alias("venue_address"), F.col("category").alias("venue_category"), F.col("avg_rating").alias("venue_rating"))
     return joins.band_join(e.join(v, "venue_id", "left"), w, [("e_at", "w_at", 3600)]).drop("venue_id", "e_at", "w_at")
 

@@ -80,8 +80,9 @@ def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured weather and forecasts: every twentieth number is a forecast's."""
     views = table(spark, sf_dir, "events").where("event_type = 'view'")
-    return views.select(F.col("event_id").alias("weather_id"), F.col("ts").cast("timestamp_ntz").alias("timestamp"), F.col("value").alias("temperature_f"))
+    return views.select(F.col("event_id").alias("weather_id"), F.col("ts").cast("timestamp_ntz").alias("timestamp"), F.col("value").alias("temperature_f"), (F.col("event_id") % 20 == 0).alias("is_forecast"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ predictions AS (SELECT o_orderkey AS prediction_id, o_custkey AS venue_id, CASE
  least(o_totalprice / 500000, 1.0::DOUBLE) AS prediction_value, (10 - CAST(o_orderpriority[1] AS INT)) / 10.0::DOUBLE AS confidence_score, o_orderdate AS generated_at,
  (o_orderkey % 11) / 10.0::DOUBLE AS career_driven_score, (o_orderkey % 7) / 6.0::DOUBLE AS competent_score, (o_orderkey % 5) / 4.0::DOUBLE AS fun_score FROM orders),
 demographics AS (SELECT s_suppkey AS demo_id, {_PLACE.format(c="true", base="38.9", m=7919)} AS lat, {_PLACE.format(c="true", base="-94.8", m=6007)} AS lng, s_acctbal AS median_income FROM (SELECT *, s_suppkey AS k FROM supplier)),
-weather AS (SELECT event_id AS weather_id, ts AS timestamp, value AS temperature_f FROM events WHERE event_type = 'view'),
+weather AS (SELECT event_id AS weather_id, ts AS timestamp, value AS temperature_f, event_id % 20 = 0 AS is_forecast FROM events WHERE event_type = 'view'),
 runs AS (SELECT event_type AS source_name, event_id AS seq, ts AS ran_at, value < 100 AS success, value AS duration, event_id % 50 AS records FROM events),
 as_of AS (SELECT TIMESTAMP '{AS_OF}' AS now)"""
 #: The full tables in SQL.

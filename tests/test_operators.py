@@ -343,3 +343,45 @@ def test_damaged_answers_give_what_a_json_parser_gives_of_whole_ones(spark):
 ])
 def test_values_keep_their_quotes_and_braces(spark, answer, titles):
     assert [e.title for e in spark.createDataFrame([(answer,)], "a string").select(tx.parse_events(F.col("a")).alias("e")).first().e] == titles
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_totals_within_meet_brute_force(spark, seed):
+    from civitas.operators import ranges
+
+    rng = np.random.default_rng(seed)
+    left = [(i, int(x)) for i, x in enumerate(rng.integers(-50, 50, 300))] + [(300, None), (301, 10**15)]
+    right = [(int(x), int(v)) for x, v in zip(rng.integers(-60, 60, 400), rng.integers(-(10**15), 10**15, 400))] + [(None, 5), (0, None)] + [(7, 1)] * 200
+    found = ranges.totals_within(spark.createDataFrame(left, "id long, at long"), spark.createDataFrame(right, "r long, v long").repartition(3), "at", "r", 10, {"total": "v"}).collect()
+    assert {r.id: (r.matches, int(r.total)) for r in found} == {i: (sum(x is not None and abs(x - t) < 10 for x, _ in right), sum(v or 0 for x, v in right if x is not None and abs(x - t) < 10)) if t is not None else (0, 0) for i, t in left}
+    empty = spark.createDataFrame([], "r long, v long")
+    assert {(r.matches, int(r.total)) for r in ranges.totals_within(spark.createDataFrame(left, "id long, at long"), empty, "at", "r", 10, {"total": "v"}).collect()} == {(0, 0)}
+    assert ranges.totals_within(spark.createDataFrame([], "id long, at long"), empty, "at", "r", 10, {}).count() == 0
+
+
+def test_running_totals_over_borders_of_ranges(spark):
+    from civitas.operators import ranges
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the small ranges are read as one
+    try:
+        rows = ranges.running(spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "9000000000000000 + (id * 37) % 1000 AS v"), ["k"], ["v"]).orderBy("k").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total = 0
+    for k, r in enumerate(rows):
+        total += 9_000_000_000_000_000 + k
+        assert (r.k, int(r.run_v)) == (k, total)
+
+
+def test_ranks_over_borders_of_ranges(spark):
+    from civitas.operators.order import ranked
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(1000).selectExpr("CAST(id % 7 AS INT) AS a", "id AS b", "'x' AS other").unionByName(spark.createDataFrame([(None, 5, "y")], "a int, b long, other string"))
+        rows = ranked(df, ["a", "b"]).orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r.rank for r in rows] == list(range(1001)) and rows[0].other == "y"
+    assert [(r.a, r.b) for r in rows[1:]] == sorted((i % 7, i) for i in range(1000))
+    assert ranked(df.where("false"), ["a"]).count() == 0
