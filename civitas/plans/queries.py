@@ -480,10 +480,22 @@ def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.withColumn("trend", F.col("n") - F.lag("n").over(Window.partitionBy("venue_id").orderBy("day")))
 
 
+def _dated_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues with the time of their first event, by which training goes forward."""
+    seen = b.events(spark, sf_dir).groupBy("venue_id").agg(F.min("start_time").alias("seen"))
+    return b.venues(spark, sf_dir).join(seen, "venue_id", "left")
+
+
+@query("""SELECT venue_id, seen, CASE WHEN place < n - 5 * (n // 6) THEN 0 ELSE 1 + (place - (n - 5 * (n // 6))) // (n // 6) END::INTEGER AS fold
+FROM (SELECT venue_id, seen, row_number() OVER (ORDER BY seen NULLS FIRST, venue_id) - 1 AS place, count(*) OVER () AS n FROM venues LEFT JOIN (SELECT venue_id, min(start_time) AS seen FROM ev GROUP BY 1) USING (venue_id))""")
+def training_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.folds(_dated_venues(spark, sf_dir).select("venue_id", "seen"), ["seen", "venue_id"])
+
+
 @query()
 def gbt_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = b.venues(spark, sf_dir)
-    labels = v.select("venue_id", sc.label(*(F.col(c) for c in ("avg_rating", "category", "lat", "lng"))).alias("label"))
+    v = _dated_venues(spark, sf_dir)
+    labels = v.select("venue_id", "seen", sc.label(*(F.col(c) for c in ("avg_rating", "category", "lat", "lng"))).alias("label"))
     rows = model.feature_matrix(v, b.events(spark, sf_dir), b.as_of())
-    best, _ = model.train(rows.join(labels, "venue_id"))
+    best, _ = model.train(rows.join(labels, "venue_id"), order=["seen", "venue_id"])
     return model.predict(best, rows)

@@ -207,7 +207,9 @@ def test_windowed_counts_stream_equals_batch(spark, sf, tmp_path):
 def test_folds_expand_and_training_needs_both_labels(spark):
     df = spark.range(60).withColumnRenamed("id", "venue_id")
     sizes = [r["count"] for r in model.folds(df, "venue_id").groupBy("fold").count().orderBy("fold").collect()]
-    assert sizes == [11, 10, 10, 10, 10, 9] or (len(sizes) == 6 and sum(sizes) == 60)
+    assert sizes == [10] * 6
+    assert [r["count"] for r in model.folds(df.where("venue_id < 47"), ["venue_id"]).groupBy("fold").count().orderBy("fold").collect()] == [12, 7, 7, 7, 7, 7]
+    assert {r.fold for r in model.folds(df.where("venue_id < 4"), "venue_id").collect()} == {0}
     rows = df.select("venue_id", *(F.lit(1.0).alias(c) for c in model.FEATURES), F.lit(1).alias("label"))
     with pytest.raises(ValueError):
         model.train(rows, n=2, rounds=1)
@@ -229,7 +231,7 @@ def test_gbt_query_trains_with_all_folds_and_stops_by_the_fold(spark, sf, monkey
     monkeypatch.setattr(model, "train", spy)
     with pytest.raises(StopIteration):
         registry.QUERIES["gbt_train_predict"](spark, sf)
-    assert seen == [((), {})]
+    assert seen == [((), {"order": ["seen", "venue_id"]})]
 
 
 def test_exact_quantile_narrows_to_the_value(spark):
@@ -385,3 +387,41 @@ def test_ranks_over_borders_of_ranges(spark):
     assert [r.rank for r in rows] == list(range(1001)) and rows[0].other == "y"
     assert [(r.a, r.b) for r in rows[1:]] == sorted((i % 7, i) for i in range(1000))
     assert ranked(df.where("false"), ["a"]).count() == 0
+
+
+def _learnable(spark, n=80):
+    rng = np.random.default_rng(1)
+    rows = [(i, *(float(x) for x in rng.normal(size=len(model.FEATURES)))) for i in range(n)]
+    df = spark.createDataFrame(rows, "venue_id long, " + ", ".join(f"{c} double" for c in model.FEATURES))
+    return df.withColumn("label", (F.col("avg_rating") + F.col("fun") / 2 > 0).cast("int"))
+
+
+def test_patience_finds_the_least_loss(spark):
+    from pyspark.ml import Pipeline
+
+    rows = model.folds(_learnable(spark), "venue_id").withColumn("label", F.col("label").cast("double"))
+    past, now = rows.where("fold < 2"), rows.where("fold = 2")
+    whole = Pipeline(stages=model._stages("label", 8)).fit(past)
+    loss = whole.stages[1].evaluateEachIteration(whole.stages[0].transform(now))
+    found = model.patient(past, now, "label", 8, 2)
+    trees = found.stages[1].getNumTrees
+    ends = [k for k in range(1, 9) if loss[k - 1] == min(loss[: min(8, k + 2)])]
+    assert trees in ends and found.stages[1].evaluateEachIteration(found.stages[0].transform(now)) == pytest.approx(loss[:trees])
+
+
+def test_models_are_stored_found_and_kept_while_recent(spark, tmp_path):
+    root, now, rows = str(tmp_path / "models"), datetime(2025, 1, 10), _learnable(spark, 40)
+    assert model.newest(spark, root) is None and model.stored(spark, root).count() == 0
+    assert not model.train_stored(rows.where("false"), root, "v0", now).success
+    assert model.train_stored(rows.withColumn("label", F.lit(1)), root, "v0", now, n=2, rounds=1).message == "no fold has both labels"
+    first = model.train_stored(rows, root, "v1", now, n=2, rounds=2)
+    assert first.success and (first.rows, first.message) == (40, None)
+    again = model.train_stored(rows, root, "v2", datetime(2025, 1, 16), n=2, rounds=2)
+    assert (again.version, again.rows, again.score) == ("v1", 0, first.score)
+    assert model.train_stored(rows, root, "v2", datetime(2025, 1, 18), n=2, rounds=1).version == "v2"
+    assert model.train_stored(rows, root, "v3", datetime(2025, 1, 18), retrain=True, n=2, rounds=1).version == "v3"
+    assert [(r.version, r.trained_at.day) for r in model.stored(spark, root).orderBy("version").collect()] == [("v1", 10), ("v2", 18), ("v3", 18)]
+    made, kept = model.predict(model.load(root, "v3"), rows), model.predict(model.newest(spark, root), rows)
+    assert made.collect() == kept.collect()
+    stored = model.prediction_rows(made, "v3", F.lit(now)).first()
+    assert (stored.prediction_type, stored.model_version, stored.generated_at) == ("attendance", "v3", now) and 0 <= stored.prediction_value <= 1
