@@ -352,12 +352,25 @@ furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software.""",
-    "BSD-3-Clause": """1. Redistributions of source code must retain the above copyright notice, this
+    "BSD-2-Clause": """1. Redistributions of source code must retain the above copyright notice, this
    list of conditions and the following disclaimer.
 
 2. Redistributions in binary form must reproduce the above copyright notice,
    this list of conditions and the following disclaimer in the documentation
    and/or other materials provided with the distribution.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -400,7 +413,7 @@ Permission is granted to anyone to use this software for any purpose,
 including commercial applications, and to alter it and redistribute it
 freely, subject to the following restrictions:""",
 }
-FULL = {"LGPL-2.1-or-later": "lgpl21-notice", "Zlib": "zlib-text", "MIT": "mit-text", "BSD-3-Clause": "bsd-text", "Apache-2.0": "apache-notice", "GPL-3.0-or-later": "gpl-notice", "MPL-2.0": "mpl-reference", "ISC": "isc-text"}
+FULL = {"LGPL-2.1-or-later": "lgpl21-notice", "Zlib": "zlib-text", "MIT": "mit-text", "BSD-2-Clause": "bsd2-text", "BSD-3-Clause": "bsd3-text", "Apache-2.0": "apache-notice", "GPL-3.0-or-later": "gpl-notice", "MPL-2.0": "mpl-reference", "ISC": "isc-text"}
 
 
 @pytest.mark.parametrize("leader", ["", " * ", "// ", "# ", "dnl "])
@@ -411,6 +424,27 @@ def test_op8_names_official_texts_as_they_are_wrapped(spark, leader):
         assert (r.licenses, r.rules) == ([r.doc.doc_id], [FULL[r.doc.doc_id]])
 
 
+@pytest.mark.parametrize("text,found", [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]), ("Foo is licensed under the MIT License.", ["MIT"]), ("This software is licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+    ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("SPDX-License-Identifier: MIT OR Apache-2.0 OR GPL-2.0-only", ["Apache-2.0", "MIT", "GPL-2.0-only"]), ("## License\nMIT License", ["MIT"]), ('"license": "ISC",', ["ISC"]),
+    ("# GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", ["GPL-3.0"]), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", ["LGPL-2.1"]), ("distributed under the terms of the GNU GPL v3 or later", ["GPL-3.0-or-later"]),
+    ("licensed under the\n * GNU General Public License v2.0\n * and more", ["GPL-2.0"]), ("Dual licensed under the MIT license or the Apache License 2.0.", ["Apache-2.0", "MIT"]), ("available under either the BSD 2-Clause License", ["BSD-2-Clause"]), ("subject to the terms of the Mozilla Public License, v. 2.0", ["MPL-2.0"]),
+    ("mit freundlichen Gruessen", []), ("Released under mitigation", []), ("PostgreSQL", []), ("mit", []), ("under the MIT roof", []), ("licensed under the GPL 9", []), ("licensed under", []),
+])
+def test_op8_references_tags_and_titles(spark, text, found):
+    (row,) = licenses.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.licenses == found
+
+
+def test_op8_every_name_is_found_in_each_form(spark):
+    each = [(k, form.format(n)) for k, (_, names) in licenses.NAMES.items() for n in names for form in ("this is licensed under the {} see there", "x\nspdx license identifier: {}\ny", "license: {}")]
+    rows = licenses.licenses(spark.createDataFrame(each, "doc_id string, text string")).collect()
+    assert len(licenses._BY_NAME) == sum(len(names) for _, names in licenses.NAMES.values()) > 500
+    assert [(r.doc.text, r.sentence_ids) for r in rows if r.sentence_ids != [r.doc.doc_id]] == []
+    every = [(k, f"Before.\n{s.upper()}.\nafter") for k, own in licenses.SENTENCES.items() for s in own]
+    assert [r.doc for r in licenses.licenses(spark.createDataFrame(every, "doc_id string, text string")).collect() if r.sentence_ids != [r.doc.doc_id]] == []
+
+
 def test_an_unlabelled_corpus_stays(spark, sf):
     docs = spark.createDataFrame([(1, "some words", None), (2, "été", None), (3, "12 !", None), (4, None, None), (5, "字", None)], "doc_id long, text string, lang string")
     kept = corpus_pipeline.identify_language(spark, docs, sf)
