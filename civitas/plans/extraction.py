@@ -1,14 +1,18 @@
-"""Registered queries that read pages and answers: cards by selector, Markdown, mended JSON, dates."""
+"""Registered queries that read pages and answers (cards by selector, Markdown, mended JSON, dates), and stores laid out by key or place."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitas.functions import text as tx
+from civitas.operators import buckets
 from civitas.operators import pages as pg
 from civitas.plans.queries import query
 from civitas.sources import bridge as b
+from civitas.staging import shared_dir
 
 
 def _sql_plain(text: str) -> str:
@@ -86,3 +90,37 @@ def times_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, kind = F.col("start_time"), F.col("event_id") % len(_FORMS)
     text = F.concat(F.lit("Starts "), F.coalesce(*(F.when(kind == k, F.date_format(at, form)) for k, form in enumerate(_FORMS))), F.lit(", tickets 25"))
     return b.events(spark, sf_dir).select("event_id", tx.flexible_time(text, b.as_of()).alias("parsed"))
+
+
+# Stores by key and by place
+
+
+@query("""SELECT coalesce(s.external_id, t.external_id) AS external_id, coalesce(s.provider, t.provider) AS provider, coalesce(s.name, t.name) AS name, CASE WHEN s.external_id IS NULL THEN t.avg_rating ELSE 5.0 END AS avg_rating, t.address
+FROM (SELECT 'x' || venue_id AS external_id, provider, name, avg_rating, address FROM venues WHERE venue_id % 3 <> 0) t FULL JOIN (SELECT 'x' || venue_id AS external_id, provider, upper(name) AS name FROM venues WHERE venue_id % 2 = 0) s USING (external_id, provider)""")
+def bucket_store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = b.venues(spark, sf_dir).select(F.concat(F.lit("x"), F.col("venue_id").cast("string")).alias("external_id"), "provider", "name", "avg_rating", "address", "venue_id")
+    store = buckets.BucketStore(spark, f"{shared_dir(spark)}/civitas/store-{uuid.uuid4().hex}", ["external_id", "provider"], "external_id string, provider string, name string, avg_rating double, address string", 16)
+    store.merge(v.where("venue_id % 3 <> 0").drop("venue_id"))
+    store.merge(v.where("venue_id % 2 = 0").select("external_id", "provider", F.upper("name").alias("name"), F.lit(5.0).alias("avg_rating")), ["name", "avg_rating"])
+    return store.read()
+
+
+_SQL_AT = "38.9::DOUBLE + ((weather_id * 7919) % 4001) / 10000.0::DOUBLE AS lat, -94.8::DOUBLE + ((weather_id * 6007) % 4001) / 10000.0::DOUBLE AS lng"
+
+
+@query(f"""SELECT weather_id, round(lat, 4) AS lat, round(lng, 4) AS lng, forecast_timestamp, temperature_f FROM (SELECT *, timestamp AS forecast_timestamp, {_SQL_AT} FROM weather), as_of
+WHERE abs(lat - 39.1::DOUBLE) < 0.1::DOUBLE AND abs(lng - -94.6::DOUBLE) < 0.1::DOUBLE AND is_forecast AND forecast_timestamp BETWEEN now AND now + INTERVAL 24 HOUR""")
+def weather_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lng = b._place("weather_id")
+    placed = b.weather(spark, sf_dir).withColumns({"lat": lat, "lng": lng}).withColumnRenamed("timestamp", "forecast_timestamp")
+    found = buckets.forecast(placed, 39.1, -94.6, b.as_of())
+    return found.select("weather_id", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"), "forecast_timestamp", "temperature_f")
+
+
+@query("SELECT venue_id, round(lat, 4) AS lat, round(lng, 4) AS lng, name FROM venues WHERE lat > 39.05::DOUBLE - 0.05::DOUBLE AND lat < 39.05::DOUBLE + 0.05::DOUBLE AND lng > -94.65::DOUBLE - 0.05::DOUBLE AND lng < -94.65::DOUBLE + 0.05::DOUBLE")
+def venues_of_a_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of a table that is laid out by place."""
+    at = f"{shared_dir(spark)}/civitas/places-{uuid.uuid4().hex}"
+    buckets.save_by_place(b.venues(spark, sf_dir).where("lat IS NOT NULL AND lng IS NOT NULL").select("venue_id", "lat", "lng", "name"), at, 16)
+    found = buckets.near(spark.read.parquet(at), 39.05, -94.65, 0.05)
+    return found.select("venue_id", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"), "name")
