@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitas.functions import scoring, text
@@ -16,7 +16,12 @@ LEAST = 500
 def places(answers: DataFrame) -> DataFrame:
     """Venue rows of ``answers`` (answer: JSON of a places search): one for each place_id, of those that several
     searches found the one that sorts first. Answers that don't parse give none."""
-    each = answers.select(F.explode(F.from_json("answer", PLACES)["results"]).alias("p")).where("p.place_id IS NOT NULL")
+    return place_rows(answers.select(F.from_json("answer", PLACES)["results"].alias("results")))
+
+
+def place_rows(found: DataFrame) -> DataFrame:
+    """``places`` of parsed answers (results)."""
+    each = found.select(F.explode("results").alias("p")).where("p.place_id IS NOT NULL")
     name = F.coalesce("p.name", F.lit("Unknown Venue"))
     rows = each.select(
         F.col("p.place_id").alias("external_id"), F.lit("google_places").alias("provider"), name.alias("name"), scoring.type_category(F.coalesce("p.types", F.array().cast("array<string>"))).alias("category"),
@@ -25,6 +30,32 @@ def places(answers: DataFrame) -> DataFrame:
     return latest(rows, ["external_id"], [F.col(c) for c in ("name", "address", "category", "subcategory", "lat", "lng", "avg_rating")])
 
 
+#: An answer's file: what was searched, the page asked for, the next page's token, its results, and the text of what doesn't parse.
+ANSWER = f"search_id string, page_token string, next_page_token string, {PLACES[7:-1].replace('results:', 'results ', 1)}, _corrupt_record string"
+# Fixed value: pages of a search.
+MOST_PAGES = 3
+
+
+def answer_files(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, search_id, page_token, next_page_token, results, problem) of the JSON files under ``path``, one object each or (``lines``) one a line: the text
+    of an object that doesn't parse, or the lack of a search, is its problem; every one has a row."""
+    rows = spark.read.schema(ANSWER).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    problem = F.coalesce("_corrupt_record", F.when(F.col("search_id").isNull(), "no search_id"))
+    return rows.select(F.col("_metadata.file_name").alias("file"), "search_id", "page_token", "next_page_token", "results", problem.alias("problem"))
+
+
+def search_pages(answers: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """(search_id, page, results) of good ``answers``: the first page of each search, and those that the token of the page before leads to, up to ``most``."""
+    good = answers.where("problem IS NULL").select("search_id", "page_token", "next_page_token", "results")
+    now = good.where("page_token IS NULL").select("search_id", "next_page_token", "results", F.lit(1).alias("page"))
+    every = now.select("search_id", "page", "results")
+    for page in range(2, most + 1):
+        asked = now.where("next_page_token IS NOT NULL").select("search_id", F.col("next_page_token").alias("page_token")).distinct()
+        now = good.join(asked, ["search_id", "page_token"]).select("search_id", "next_page_token", "results", F.lit(page).alias("page"))
+        every = every.unionByName(now.select("search_id", "page", "results"))
+    return every
+
+
 def page_venues(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """A venue row for each acceptable page (page_id, url, html) of a registered source (source_name, host,
     category, is_enabled): its title as the name, its meta description or first paragraph, an id that

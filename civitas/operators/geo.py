@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,3 +85,47 @@ def feature_collections(df: DataFrame, per: int = 10_000) -> DataFrame:
 
 def in_bounds(b: Bounds, lat: Column | None = None, lng: Column | None = None) -> Column:
     return (F.col("lat") if lat is None else lat).between(b.south, b.north) & (F.col("lng") if lng is None else lng).between(b.west, b.east)
+
+
+#: Metres of a degree of latitude, of the earth's radius that ``distance_m`` takes.
+RADIUS = 6_371_008.8
+DEGREE = RADIUS * math.pi / 180
+
+
+def distance_m(lat: Column, lng: Column, lat2: Column, lng2: Column) -> Column:
+    """Metres between two places along the sphere."""
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
+    h = half(lat, lat2) + F.cos(F.radians(lat)) * F.cos(F.radians(lat2)) * half(lng, lng2)
+    return 2 * RADIUS * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def covered(records: DataFrame, points: DataFrame, metres: float) -> DataFrame:
+    """Each row of ``records`` (lat, lng, ...) with every one of ``points`` (point_id, p_lat, p_lng) within ``metres``, and the ``distance``.
+
+    The earth is cut into bands of that height and these into cells at least as wide; a point stands in its own and the neighbouring
+    cells of its own and the neighbouring bands, across the date line too, so an equi-join on the cell finds each pair once. Distances decide. Rows
+    without a place have no pairs.
+    """
+    height = min(metres / DEGREE * 1.001, 180.0)
+    band = lambda lat: F.floor((lat + 90) / height)
+
+    def cells(at: Column) -> Column:
+        """How many cells a band has: as wide as ``height`` where the band and its neighbours are nearest to a pole."""
+        edge = F.greatest(F.abs((at - 1) * height - 90), F.abs((at + 2) * height - 90))
+        wide = F.when(edge < 90, height / F.cos(F.radians(F.least(edge, F.lit(89.999))))).otherwise(360.0)
+        return F.greatest(F.floor(360 / wide), F.lit(1))
+
+    cell = lambda at, lng: F.pmod(F.floor((lng + 180) / 360 * cells(at)), cells(at))
+    own = records.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("__band", band(F.col("lat"))).withColumn("__cell", cell(F.col("__band"), F.col("lng")))
+    spread = points.where("p_lat IS NOT NULL AND p_lng IS NOT NULL").withColumn("__b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band(F.col("p_lat")) + d)))
+    near = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(cell(F.col("__b"), F.col("p_lng")) + d, cells(F.col("__b")))))
+    spread = spread.withColumn("__c", F.explode(near))
+    pairs = own.join(spread, (F.col("__band") == F.col("__b")) & (F.col("__cell") == F.col("__c")))
+    far = distance_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+    return pairs.withColumn("distance", far).where(F.col("distance") <= metres).drop("__band", "__cell", "__b", "__c")
+
+
+def nearest_point(records: DataFrame, points: DataFrame, key: str, metres: float) -> DataFrame:
+    """(key, point_id, distance): of the points within ``metres`` of each record the nearest, ties to the smaller id; records without one have no row."""
+    best = covered(records.select(key, "lat", "lng"), points.select("point_id", "p_lat", "p_lng"), metres).groupBy(key).agg(F.min(F.struct("distance", "point_id")).alias("b"))
+    return best.select(key, "b.point_id", "b.distance")

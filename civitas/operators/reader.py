@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,11 @@ Predicate = Callable[[Any], Column]
 
 _located = lambda on: F.col("lat").isNotNull() & F.col("lng").isNotNull() if on else F.lit(True)
 VENUE_FILTERS: dict[str, Predicate] = {"category": lambda x: F.col("category") == x, "has_location": _located, "min_rating": lambda x: F.col("avg_rating") >= x}
+#: Corners of a box: min_lat, max_lat, min_lng, max_lng; those that are given count.
+_box = lambda x: reduce(Column.__and__, (F.col(side) >= x[f"min_{side}"] if f"min_{side}" in x else F.lit(True) for side in ("lat", "lng")), reduce(Column.__and__, (F.col(side) <= x[f"max_{side}"] if f"max_{side}" in x else F.lit(True) for side in ("lat", "lng"))))
+#: Whether any of a venue's scores (JSON of name to number) is at least a value.
+_any_score = lambda x: F.exists(F.map_values(F.from_json("psychographic_relevance", "map<string,double>")), lambda v: v >= x)
+VENUE_FILTERS |= {"bounds": _box, "provider": lambda x: F.col("provider") == x, "psychographic_min": _any_score}
 EVENT_FILTERS: dict[str, Predicate] = {"category": lambda x: F.col("category") == x, "start_date": lambda x: F.col("start_time") >= F.lit(x).cast("timestamp_ntz"), "end_date": lambda x: F.col("start_time") <= F.lit(x).cast("timestamp_ntz"), "has_location": _located}
 SENTIMENT_FILTERS: dict[str, Predicate] = {k: lambda x, k=k: F.col(k) == x for k in ("venue_id", "event_id", "platform")}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitas.functions import text as tx
-from civitas.operators import buckets
+from civitas.operators import buckets, collect, geo, reader
 from civitas.operators import pages as pg
 from civitas.plans.queries import query
 from civitas.sources import bridge as b
@@ -124,3 +124,36 @@ def venues_of_a_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets.save_by_place(b.venues(spark, sf_dir).where("lat IS NOT NULL AND lng IS NOT NULL").select("venue_id", "lat", "lng", "name"), at, 16)
     found = buckets.near(spark.read.parquet(at), 39.05, -94.65, 0.05)
     return found.select("venue_id", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"), "name")
+
+
+# Collection from searches
+
+
+@query("""SELECT venue_id, arg_min(demo_id, (d, demo_id)) AS point_id, round(min(d), 2) AS distance FROM (SELECT venue_id, demo_id,
+2 * 6371008.8::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(d.lat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(d.lat)) * pow(sin(radians(d.lng - v.lng) / 2), 2)))) AS d FROM venues v, demographics d) WHERE d <= 2500 GROUP BY venue_id""")
+def nearest_search_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = b.demographics(spark, sf_dir).select(F.col("demo_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    found = geo.nearest_point(b.venues(spark, sf_dir), points, "venue_id", 2500.0)
+    return found.select("venue_id", "point_id", F.round("distance", 2).alias("distance"))
+
+
+@query("""SELECT 's' || (page_id // 6) AS search_id, 1 + page_id % 6 AS page, 'p' || page_id AS external_id, title AS name FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+WHERE page_id % 6 < 3 AND page_id % 30 <> 7 AND NOT (page_id % 30 = 8)""", bridged=False)
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as files: six pages a search, of which three are read; every fifth search's second page is broken, which ends it."""
+    k, at = F.col("page_id"), f"{shared_dir(spark)}/civitas/answers-{uuid.uuid4().hex}"
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    token = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    body = F.to_json(F.struct(F.concat(F.lit("s"), F.floor(k / 6).cast("string")).alias("search_id"), F.when(k % 6 > 0, token(k)).alias("page_token"), token(k + 1).alias("next_page_token"), F.array(F.struct(F.concat(F.lit("p"), k.cast("string")).alias("place_id"), title.alias("name"))).alias("results")))
+    rows = b.table(spark, sf_dir, "pages").select(F.when(k % 30 == 7, F.concat(F.lit("<oops>"), body)).otherwise(body).alias("value"))
+    rows.write.text(at)
+    answers = collect.answer_files(spark, at, lines=True)
+    found = collect.search_pages(answers)
+    return found.select("search_id", F.col("page").cast("long").alias("page"), F.explode("results").alias("p")).select("search_id", "page", F.col("p.place_id").alias("external_id"), "p.name")
+
+
+@query("SELECT venue_id, provider, round(lat, 4) AS lat, round(lng, 4) AS lng FROM vf WHERE provider = 'p1' AND lat >= 39.0 AND lat <= 39.2 AND lng >= -94.7 AND lng <= -94.5 AND CAST(psychographic_relevance->>'$.fun' AS DOUBLE) >= 0.4".replace("FROM vf", "FROM (SELECT v.*, CASE WHEN venue_id % 4 <> 1 THEN '{\"fun\": 0.' || (venue_id % 10) || '}' END AS psychographic_relevance FROM venues v)"))
+def venues_by_every_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = {"min_lat": 39.0, "max_lat": 39.2, "min_lng": -94.7, "max_lng": -94.5}
+    found = reader.get_venues(b.venues_full(spark, sf_dir), {"provider": "p1", "bounds": bounds, "psychographic_min": 0.4})
+    return found.select("venue_id", "provider", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"))

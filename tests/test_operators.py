@@ -425,3 +425,53 @@ def test_models_are_stored_found_and_kept_while_recent(spark, tmp_path):
     assert made.collect() == kept.collect()
     stored = model.prediction_rows(made, "v3", F.lit(now)).first()
     assert (stored.prediction_type, stored.model_version, stored.generated_at) == ("attendance", "v3", now) and 0 <= stored.prediction_value <= 1
+
+
+@pytest.mark.parametrize("metres", [30_000.0, 2_000_000.0, 15_000_000.0])
+def test_covered_meets_brute_force_at_poles_and_the_date_line(spark, metres):
+    import math
+
+    rng = np.random.default_rng(int(metres))
+    spots = lambda n: [(float(a), float(b)) for a, b in zip(np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n))]
+    close = [(89.99, 10.0), (89.95, -170.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -179.9), (0.1, 179.95), (51.0, -0.05), (51.0, 0.05), (90.0, 77.0), (None, 1.0)]
+    records, points = [(i, *x) for i, x in enumerate(spots(120) + close)], [(i, *x) for i, x in enumerate(spots(80) + close)]
+
+    def far(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * geo.RADIUS * math.asin(math.sqrt(min(1, h)))
+
+    expected = {(r, p): far(a, b, c, d) for r, a, b in records if a is not None for p, c, d in points if c is not None}
+    expected = {k: v for k, v in expected.items() if v <= metres}
+    df, at = spark.createDataFrame(records, "id long, lat double, lng double"), spark.createDataFrame(points, "point_id long, p_lat double, p_lng double")
+    found = [(r.id, r.point_id, r.distance) for r in geo.covered(df, at, metres).collect()]
+    assert sorted(x[:2] for x in found) == sorted(expected) and all(math.isclose(d, expected[a, b], rel_tol=1e-6, abs_tol=1e-3) for a, b, d in found)
+    nearest = {r.id: r.point_id for r in geo.nearest_point(df, at, "id", metres).collect()}
+    assert nearest.keys() == {a for a, _ in expected} and all(math.isclose(expected[a, p], min(d for (x, _), d in expected.items() if x == a), rel_tol=1e-6, abs_tol=1e-3) for a, p in nearest.items())
+
+
+def test_answer_files_and_pages_of_a_search(spark, tmp_path):
+    import json
+
+    from civitas.operators import collect
+
+    place = lambda k: {"place_id": f"p{k}", "name": f"n{k}", "rating": 4.5, "types": ["bar"], "geometry": {"location": {"lat": 39.0, "lng": -94.5}}}
+    own = {"a": {"search_id": "x", "next_page_token": "1", "results": [place(1)]}, "b": {"search_id": "x", "page_token": "1", "next_page_token": "2", "results": [place(2), place(1)]}, "c": {"search_id": "x", "page_token": "2", "next_page_token": "3", "results": [place(3)]},
+           "d": {"search_id": "x", "page_token": "3", "results": [place(4)]}, "e": {"search_id": "y", "page_token": "1", "results": [place(5)]}, "f": {"search_id": "z", "results": []}, "g": {"results": [place(6)]}}
+    for name, body in own.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
+    (tmp_path / "h.json").write_text('{"search_id": "w", "results": [')
+    answers = collect.answer_files(spark, str(tmp_path))
+    assert {r.file: r.problem is not None for r in answers.collect()} == {f"{k}.json": k in "gh" for k in "abcdefgh"}
+    found = collect.search_pages(answers)
+    assert sorted((r.search_id, r.page) for r in found.collect()) == [("x", 1), ("x", 2), ("x", 3), ("z", 1)]
+    assert sorted(r.external_id for r in collect.place_rows(found).collect()) == ["p1", "p2", "p3"]
+
+
+def test_every_filter_of_venues(spark):
+    from civitas.operators import reader
+
+    rows = [(1, 39.0, -94.5, "a", '{"fun": 0.2, "social": 0.9}'), (2, 39.5, -94.5, "a", '{"fun": 0.8}'), (3, 39.0, -94.9, "b", None), (4, None, None, "a", "broken")]
+    df = spark.createDataFrame(rows, "venue_id long, lat double, lng double, provider string, psychographic_relevance string")
+    ids = lambda **f: [r.venue_id for r in reader.get_venues(df, f).orderBy("venue_id").collect()]
+    assert ids(provider="a") == [1, 2, 4] and ids(psychographic_min=0.85) == [1] and ids(bounds={"min_lat": 39.2}) == [2] and ids(bounds={"max_lat": 39.2, "min_lng": -94.6, "max_lng": -94.0}) == [1]
+    assert ids(bounds={"min_lat": 39.0, "max_lat": 39.5}, provider="a", psychographic_min=0.5) == [1, 2] and ids(bounds={}) == [1, 2, 3, 4]
