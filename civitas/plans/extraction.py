@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from civitas.functions import text as tx
 from civitas.operators import buckets, collect, geo, reader
 from civitas.operators import pages as pg
+from civitas.operators.chain import collect_events
 from civitas.plans.queries import query
+from civitas.plans.records import full
 from civitas.sources import bridge as b
 from civitas.staging import shared_dir
 
@@ -157,3 +159,33 @@ def venues_by_every_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = {"min_lat": 39.0, "max_lat": 39.2, "min_lng": -94.7, "max_lng": -94.5}
     found = reader.get_venues(b.venues_full(spark, sf_dir), {"provider": "p1", "bounds": bounds, "psychographic_min": 0.4})
     return found.select("venue_id", "provider", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"))
+
+
+# The collection chain
+
+_NAV = f"""nav AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, list_slice(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>.*?</li>'), 1, {pg.MOST_CARDS}) AS items FROM pages WHERE length(html) >= 500),
+cards AS (SELECT page_id, host, i AS place, {_sql_plain(_TAGLESS.format('items[i]'))} AS title FROM nav, unnest(range(1, len(items) + 1)) t(i)),
+stored AS (SELECT 'house_of_' || host || '_' || md5(title) AS external_id, 's_' || host AS provider, left(title, 200) AS name, page_id, place FROM cards WHERE length(title) >= {pg.LEAST_TITLE})"""
+
+
+def _collected(spark: SparkSession, sf_dir: str):
+    """The links of every page's menu as events of its host: half of the hosts' houses are known venues, by names in capitals."""
+    pages = b.table(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).distinct()
+    sources = hosts.select(F.concat(F.lit("s_"), "host").alias("source_name"), "host", F.concat(F.lit("House of "), "host").alias("venue_name"), F.lit("menu").alias("category"), F.lit(True).alias("is_enabled"), F.array(F.lit("nav li")).alias("selectors"))
+    known = hosts.where("length(host) % 2 = 0").select(F.xxhash64("host").cast("string").alias("venue_id"), F.upper(F.concat(F.lit("House of "), "host")).alias("name"), F.lit(39.1).alias("lat"), F.lit(-94.6).alias("lng"), F.col("host").alias("address"))
+    held = b.events_full(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), F.col("venue_id").cast("string").alias("venue_id"), "external_id", "provider", "name", "category", F.lit(None).cast("string").alias("subcategory"), "start_time", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("string").alias("address"), "created_at")
+    return collect_events(pages, sources, held, known, b.as_of())
+
+
+@full(
+    f""", {_NAV} SELECT external_id, provider, name, category, NULL AS subcategory, start_time, NULL AS lat, NULL AS address, TIMESTAMP '2023-12-01' AS created_at FROM ef UNION ALL
+SELECT external_id, provider, name, 'local_event', 'menu', NULL, CASE WHEN length(provider) % 2 = 0 THEN 39.1::DOUBLE END, CASE WHEN length(provider) % 2 = 0 THEN provider[3:] END, TIMESTAMP '2024-01-15' FROM stored GROUP BY ALL"""
+)
+def event_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collected(spark, sf_dir).events.drop("event_id", "venue_id")
+
+
+@query(f"WITH {_NAV}, host AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS h FROM pages) SELECT 's_' || h AS source_name, count(name) > 0 AS success, count(name) AS records FROM host LEFT JOIN stored ON provider = 's_' || h GROUP BY h", bridged=False)
+def event_collection_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collected(spark, sf_dir).runs.drop("ran_at")
