@@ -12,7 +12,8 @@ VENUE_CATEGORIES = ["restaurant", "bar", "nightclub", "theater", "museum", "gall
 EVENT_CATEGORIES = ["music", "theater", "sports", "food", "art", "business", "cultural", "nightlife", "outdoor", "family", "local_event", "major_event"]
 CITY = {"lat": (38.5, 39.5), "lng": (-95.0, -94.0)}
 DIMENSIONS = ["career_driven", "competent", "fun", "social", "adventurous"]
-URL = r"(?i)^https?://(?:(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
+# What a URL looks like, in either case of letters, and a model's version.
+URL = r"(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
 VERSION = r"^v?\d+(\.\d+)*$"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civitas.functions import quality, scoring, text
-from civitas.operators import collect, pages, store
+from civitas.operators import collect, joins, pages, store
 from civitas.staging import staged
 
 # Characters of a name, least of one that is stored, and the category of collected events.
@@ -47,9 +47,12 @@ def judged(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def with_place(rows: DataFrame, venues: DataFrame) -> DataFrame:
-    """``rows`` without a place get that of the venue of their name, case aside (of several the smallest id that is located), and its address if they have none."""
-    known = venues.where("lat IS NOT NULL AND lng IS NOT NULL AND name IS NOT NULL").groupBy(F.lower("name").alias("low")).agg(F.min_by(F.struct(F.col("lat").alias("v_lat"), F.col("lng").alias("v_lng"), F.col("address").alias("v_address")), "venue_id").alias("v"))
-    both = rows.join(known, F.lower("venue_name") == F.col("low"), "left")
+    """``rows`` without a place get that of the located venue that their venue's name means (see ``joins.match_names``), and its address if they have none."""
+    located = venues.where("lat IS NOT NULL AND lng IS NOT NULL AND name <> ''")
+    asked = rows.where("venue_name <> ''").select(F.col("venue_name").alias("query")).distinct()
+    best = joins.match_names(asked, located.select(F.col("venue_id").alias("place_id"), "name"))
+    own = located.groupBy(F.col("venue_id").alias("place_id")).agg(F.first(F.struct(F.col("lat").alias("v_lat"), F.col("lng").alias("v_lng"), F.col("address").alias("v_address"))).alias("v"))
+    both = rows.join(best.join(own, "place_id").select("query", "v"), F.col("venue_name") == F.col("query"), "left")
     none = F.col("lat").isNull() & F.col("lng").isNull()
     found = {"lat": F.when(none, F.col("v.v_lat")).otherwise(F.col("lat")), "lng": F.when(none, F.col("v.v_lng")).otherwise(F.col("lng")), "address": F.when(none, F.coalesce("address", F.col("v.v_address"))).otherwise(F.col("address"))}
     return both.select(*(found[c].alias(c) if c in found else F.col(c) for c in rows.columns))
@@ -67,7 +70,7 @@ def collect_events(crawled: DataFrame, sources: DataFrame, events: DataFrame, ve
     cards = cards.withColumn("source_name", F.col("page_id.source_name")).withColumn("page_id", F.col("page_id.page_id")).join(own.select("source_name", "venue_name", "category"), "source_name")
     rows = staged(judged(rows_of_cards(cards, now), now), "judged_events")
     kept = store.latest(rows.where("reason IS NULL"), ["external_id", "provider"], [F.desc("page_id"), F.desc("place")])
-    placed, made = store.resolve_venues(with_place(kept, venues), venues)
+    placed, made = store.resolve_venues(staged(with_place(kept, venues), "placed_events"), venues)
     if "event_id" in events.columns:
         kind = events.schema["event_id"].dataType
         own_id = store.stable_id(F.col("provider"), F.col("external_id")) if kind.simpleString() == "string" else F.xxhash64("provider", "external_id").cast(kind)

@@ -119,6 +119,21 @@ def name_lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_names(asked, region.select(F.col("r_regionkey").alias("place_id"), F.col("r_name").alias("name")))
 
 
+def _sql_clean(name: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({name}), '\\b({'|'.join(joins.COMMON)})\\b', '', 'g'), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT query, min_by(venue_id, (rank, venue_id)) AS place_id, CASE min(rank) WHEN 0 THEN 'exact' ELSE 'found' END AS how FROM (SELECT query, venue_id, CASE WHEN lower(query) = lower(name) THEN 0 ELSE 1 END AS rank
+FROM (SELECT DISTINCT CASE venue_id % 4 WHEN 0 THEN upper(name) WHEN 1 THEN 'KC ' || name || ' Theatre' WHEN 2 THEN replace(name, '#', '-') || ' (Kansas City)' ELSE 'Nothing ' || venue_id END AS query FROM venues) a
+JOIN (SELECT name, min(venue_id) AS venue_id FROM venues GROUP BY 1) v ON contains(lower(query), lower(name)) OR contains(lower(name), lower(query)) OR ({_sql_clean('query')} <> '' AND {_sql_clean('name')} <> '' AND (contains({_sql_clean('query')}, {_sql_clean('name')}) OR contains({_sql_clean('name')}, {_sql_clean('query')})))) GROUP BY query""")
+def name_lookup_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every venue's name as someone else writes it, looked up among all venues."""
+    v, k = b.venues(spark, sf_dir), F.col("venue_id") % 4
+    form = F.when(k == 0, F.upper("name")).when(k == 1, F.concat(F.lit("KC "), "name", F.lit(" Theatre"))).when(k == 2, F.concat(F.replace("name", F.lit("#"), F.lit("-")), F.lit(" (Kansas City)"))).otherwise(F.concat(F.lit("Nothing "), F.col("venue_id").cast("string")))
+    found = joins.match_names(v.select(form.alias("query")), v.select(F.col("venue_id").alias("place_id"), "name"))
+    return found.select("query", "place_id", F.when(F.col("how") == "exact", "exact").otherwise("found").alias("how"))
+
+
 _NEAREST = """SELECT v.venue_id, d.demo_id, d.median_income, round(abs(v.lat - d.lat) + abs(v.lng - d.lng), 4) AS distance FROM venues v
 LEFT JOIN demographics d ON abs(v.lat - d.lat) < 0.01::DOUBLE AND abs(v.lng - d.lng) < 0.01::DOUBLE
 QUALIFY row_number() OVER (PARTITION BY v.venue_id ORDER BY round(abs(v.lat - d.lat) + abs(v.lng - d.lng), 9) NULLS LAST, d.demo_id NULLS LAST) = 1"""

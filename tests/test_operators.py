@@ -475,3 +475,10 @@ def test_every_filter_of_venues(spark):
     ids = lambda **f: [r.venue_id for r in reader.get_venues(df, f).orderBy("venue_id").collect()]
     assert ids(provider="a") == [1, 2, 4] and ids(psychographic_min=0.85) == [1] and ids(bounds={"min_lat": 39.2}) == [2] and ids(bounds={"max_lat": 39.2, "min_lng": -94.6, "max_lng": -94.0}) == [1]
     assert ids(bounds={"min_lat": 39.0, "max_lat": 39.5}, provider="a", psychographic_min=0.5) == [1, 2] and ids(bounds={}) == [1, 2, 3, 4]
+
+
+def test_names_without_city_words_and_with_letters_of_every_script(spark):
+    places = spark.createDataFrame([(1, "Jazz House (Kansas City)"), (2, "Café Zoë"), (4, "The Hall")], "place_id long, name string")
+    expected = {"Kansas City Jazz": 1, "Jazz House Kansas City": 1, "jazz house kc": 1, "Café Zoë!": 2, "The Hall": 4}
+    asked = spark.createDataFrame([(q,) for q in (*expected, "KC", "caf zo")], "query string")
+    assert {r.query: r.place_id for r in joins.match_names(asked, places).collect()} == expected
