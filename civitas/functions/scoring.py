@@ -76,6 +76,18 @@ def event_popup() -> Column:
     return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit(other)).alias(c) for c, other in shown.items()))
 
 
+def venue_popup() -> Column:
+    """What a venue's marker shows, of name, category, avg_rating, address and provider."""
+    shown = {"name": "Unknown Venue", "category": "Unknown", "address": "N/A", "provider": "Unknown"}
+    return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit(other)).alias(c) for c, other in shown.items()), F.coalesce(F.round("avg_rating", 1).cast("string"), F.lit("N/A")).alias("rating"))
+
+
+def prediction_colour(value: Column) -> Column:
+    """The colour of a prediction's section in a venue's popup."""
+    # fixed values: least prediction and colour
+    return F.when(value >= 0.7, "#d73027").when(value >= 0.5, "#fc8d59").when(value >= 0.3, "#fee08b").otherwise("#91bfdb")
+
+
 def prediction_popup() -> Column:
     """What a prediction's marker shows, of prediction_value, confidence_score, prediction_type and model_version."""
     value = F.format_string("%.3f", F.coalesce("prediction_value", F.lit(0.5)))

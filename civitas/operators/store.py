@@ -88,6 +88,23 @@ def replace(target: DataFrame, source: DataFrame, keys: list[str], defaults: dic
     return merge.replace_by_key(target, filled, keys)
 
 
+def upsert_demographics(held: DataFrame, source: DataFrame) -> DataFrame:
+    """``source`` in place of the rows of its places and tracts."""
+    return replace(held, source, ["lat", "lng", "census_tract"], {"data_source": "census_bureau"})
+
+
+def upsert_foot_traffic(held: DataFrame, source: DataFrame) -> DataFrame:
+    return replace(held, source, ["venue_id", "timestamp"], {"provider": "foot_traffic_api"})
+
+
+def append_sentiment(held: DataFrame, source: DataFrame) -> DataFrame:
+    """``held`` and the rows of ``source``, which have no key: mentions and engagement that are missing count as none."""
+    fill = {"mention_count": 0, "total_engagement": 0}
+    rows = source.withColumns({c: F.lit(None).cast("long") for c in fill if c not in source.columns}).withColumns({c: F.coalesce(c, F.lit(n)) for c, n in fill.items()})
+    kept = rows.select(*(c for c in held.columns if c in rows.columns))
+    return held.unionByName(kept, allowMissingColumns=True)
+
+
 def cache_get(cache: DataFrame, asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """The rows of ``cache`` (cache_key, ..., expires_at, is_valid, last_accessed) that ``asked`` (cache_key)
     names, unexpired and valid; and the cache after that, where these were accessed now."""
@@ -114,6 +131,13 @@ def geocode(cache: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, both.withColumn("access_count", F.col("access_count") + F.coalesce("__times", F.lit(0))).drop("__times")
 
 
+def geocode_set(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (address, lat, lng, formatted_address) in place of what the cache has for their addresses, not accessed so far; of an address
+    given twice the row that sorts first."""
+    new = latest(rows, ["address"], [F.col(c) for c in rows.columns if c != "address"])
+    return replace(cache, new, ["address"], {"access_count": 0, "country": "USA", "provider": "google_geocoding"})
+
+
 def typed(value: Column, kind: Column) -> Column:
     """A tagged value as (string, integer, float, boolean, json), of which its tag's field is set. A value
     that doesn't fit its tag is null."""
