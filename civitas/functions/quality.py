@@ -140,8 +140,12 @@ def generic_rules(c=F.col) -> Column:
 
 def verdict(rules: Column) -> Column:
     """(is_valid, score): whether all rules hold, and their mean score. Validation flags and never drops."""
-    total = F.aggregate(rules, F.lit(0.0), lambda a, r: a + r["score"])
-    return F.struct(F.forall(rules, lambda r: r["is_valid"]).alias("is_valid"), (total / F.greatest(F.size(rules), F.lit(1))).alias("score"))
+
+    def made(each: Column) -> Column:
+        total = F.aggregate(each, F.lit(0.0), lambda a, r: a + r["score"])
+        return F.struct(F.forall(each, lambda r: r["is_valid"]).alias("is_valid"), (total / F.greatest(F.size(each), F.lit(1))).alias("score"))
+
+    return F.element_at(F.transform(F.array(rules), made), 1)  # the rules stand in the plan once
 
 
 def dataset_quality(df: DataFrame, columns: list[str], rules: Column) -> DataFrame:
