@@ -42,6 +42,12 @@ def heat(grid_cells: DataFrame, venues: DataFrame) -> DataFrame:
     return sums.select("cell", "g_lat", "g_lng", F.least(F.col("wx") / F.col("w"), F.lit(1.0)).alias("value")).where("value > 0.1")
 
 
+def grid_predictions(cells: DataFrame) -> DataFrame:
+    """Cells of ``heat`` as predictions of places without a venue."""
+    # fixed values: their confidence, venues and kind
+    return cells.select("cell", F.col("g_lat").alias("lat"), F.col("g_lng").alias("lng"), F.col("value").alias("prediction_value"), F.lit(0.4).alias("confidence_score"), F.lit(0).alias("venue_count"), F.lit("grid_prediction").alias("area_type"))
+
+
 def search_grid(spark: SparkSession, bounds: Bounds, km: float = 5.0) -> DataFrame:
     """(s_lat, s_lng) of search points ``km`` apart, both edges included (111 and 85 km a degree)."""
     dlat, dlng = km / 111.0, km / 85.0

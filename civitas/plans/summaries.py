@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitas.functions import quality as q
 from civitas.functions import scoring as sc
-from civitas.operators import maps, model, store, summaries
-from civitas.plans.queries import _BEST, _BOOST, _MATRIX, _sql_scores, best_prediction_per_venue, query, r4
+from civitas.operators import geo, maps, model, store, summaries
+from civitas.plans.queries import _BEST, _BOOST, _HEAT, _MATRIX, _sql_scores, best_prediction_per_venue, query, r4
 from civitas.plans.records import _sql_colour, full
 from civitas.sources import bridge as b
 from civitas.streaming import cache
@@ -84,6 +85,12 @@ def map_center_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.centre(v, *layers).select(r4("lat", "lat"), r4("lng", "lng"))
 
 
+@query(f", {_HEAT} SELECT cell, round(value, 4) AS prediction_value, 0.4::DOUBLE AS confidence_score, 0 AS venue_count, 'grid_prediction' AS area_type FROM heat WHERE value > 0.1")
+def grid_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = geo.grid_predictions(geo.heat(geo.grid(spark), b.venues(spark, sf_dir)))
+    return cells.select("cell", r4("prediction_value", "prediction_value"), "confidence_score", "venue_count", "area_type")
+
+
 # Enrichment stores
 
 
@@ -154,6 +161,17 @@ def stand_in_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("n", F.round("label_mean", 5).alias("label_mean"), each.alias("f")).select("f.*", "n", "label_mean")
 
 
+_N = "length(trim(source))"
+
+
+@query(f"""SELECT doc_id, source IS NULL OR ({_N} BETWEEN 2 AND 200 AND regexp_matches(source, '[a-zA-Z]')) AS is_valid, round(CASE WHEN source IS NULL THEN 0.8::DOUBLE ELSE (0.8::DOUBLE + CASE WHEN {_N} < 2 THEN 0.2 WHEN {_N} > 200 THEN 0.3
+WHEN NOT regexp_matches(source, '[a-zA-Z]') THEN 0.4 WHEN {_N} < 5 THEN 0.7 WHEN {_N} > 100 THEN 0.8 ELSE 1 END::DOUBLE) / 2 END, 4) AS score FROM documents""", bridged=False)
+def validate_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for records of a kind that has none of its own: documents, named by their source."""
+    found = b.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name")).select("doc_id", q.verdict(q.generic_rules()).alias("r"))
+    return found.select("doc_id", "r.is_valid", F.round("r.score", 4).alias("score"))
+
+
 # The cache
 
 
