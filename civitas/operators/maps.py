@@ -16,7 +16,7 @@ _LOCATED = "lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0"
 
 def percent(share: Column) -> Column:
     """A share as people read it: 0.25 is 25.0%; null stays null."""
-    return F.when(share.isNotNull(), F.format_string("%.1f%%", F.round(share * 100, 1)))
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", sc.rounded(share * 100, 1)))
 
 
 def venue_markers(venues: DataFrame, best: DataFrame, scheme: str = "default") -> DataFrame:

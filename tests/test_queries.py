@@ -32,3 +32,19 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_band_joins_have_no_nested_loop(spark, sf):
     for name in ("nearest_demographic", "master_events", "master_venues"):
         assert "NestedLoop" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_map_layers_round_prices_between_two_steps_like_their_sql(spark, sf, same_as_sql, tmp_path):
+    import duckdb
+
+    for name in ("customer", "nation", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    # every price whose share of 500,000 lies halfway between two thousandths
+    duckdb.sql(f"COPY (SELECT o.* REPLACE (250.0 + 500 * i AS o_totalprice, i AS o_orderkey, 1 AS o_custkey) FROM (SELECT * FROM '{sf}/orders.parquet' LIMIT 1) o, range(1000) r(i)) TO '{tmp_path}/orders.parquet'")
+    base = duckdb.connect()
+    for name in ("customer", "nation", "events", "orders"):
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    base.execute(f"CREATE VIEW supplier AS SELECT * FROM '{sf}/supplier.parquet'")
+    expected = dict(base.execute(f"SELECT id, tooltip FROM ({registry.ORACLE_SQL['map_layers']}) WHERE layer = 'prediction'").fetchall())
+    got = {r.id: r.tooltip for r in registry.QUERIES["map_layers"](spark, str(tmp_path)).where("layer = 'prediction'").collect()}
+    assert len(got) == 1000 and got == expected
