@@ -1,9 +1,11 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, confirmed exactly.
 
 A unit vector is the sum of one word from each of ``BOOKS`` full-dimensional codebooks, chosen
-by beam search over the residuals; its code and the norm of the sum are stored. A query scores
-all codes through tables of its products with the words; the best are reranked exactly. Equal
-vectors are indexed once, with the ids that a result can need.
+by beam search over the residuals; its code, the norm of the sum and what the sum misses of the vector
+are stored. A query scores all codes through tables of its products with the words. The best are compared
+exactly, which gives each query a bound; every vector whose code leaves it a chance to reach that bound is
+compared exactly too, so none is missed however close vectors lie. Equal vectors are indexed once, with the
+ids that a result can need.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 
 from civitas.llm.common import staged, tune
 
-#: Codebooks, words of each, kept beams, vectors to fit on (about), candidates to rerank.
+#: Codebooks, words of each, kept beams, vectors to fit on (about), candidates that give a query's bound.
 BOOKS, WORDS, BEAMS, SAMPLE, CANDIDATES = 16, 256, 4, 16_384, 200
-#: Least and most codes of a search task, queries of a broadcast and of a table.
+#: Least and most codes of a search task (of 64 dimensions), queries of a broadcast and of a table.
 LEAST_OF_TASK, PER_TASK, QUERIES, AT_ONCE = 4096, 32_768, 16_384, 64
+#: More than float32 errs in a product of unit vectors and in the sum of a code's products.
+SLACK, CODE_SLACK = 1e-5, 1e-4
 
 
 @dataclass
@@ -129,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
     # the ids of equal vectors that a result can need: k and the query's own
     members = staged(rows.dropDuplicates(["h", "g", "vec_id"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1), "members")
     classes = members.where("place = 1").select(F.col("vec_id").alias("class"), "embedding", "h", "g")
-    total = classes.count()
+    total, named = classes.agg(F.count("*"), F.count_distinct("class")).first()
     asked = staged(usable(queries).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id"), "queries")
     count = asked.count()
     if not total or not count:
@@ -141,38 +145,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, norms = model.value.encode(unit(batch.column(1))) if batch.num_rows else (np.zeros((0, 1), np.uint8), np.zeros(0))
-            yield pa.record_batch([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32), pa.float32())], ["class", "code", "norm"])
+            if not batch.num_rows:
+                continue
+            x = unit(batch.column(3))
+            codes, norms = model.value.encode(x)
+            gaps = np.linalg.norm(x - model.value.decode(codes), axis=1)
+            yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array(gaps.astype(np.float32))], ["class", "h", "g", "embedding", "code", "norm", "gap"])
 
     # what a task gives doesn't depend on the number of tasks, so neither does the result
-    tasks = max(-(-total // PER_TASK), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_OF_TASK)))
-    index = staged(classes.select("class", "embedding").repartition(tasks, "class").mapInArrow(encode, "class long, code binary, norm float"), "codes").repartition(tasks, "class")
+    most = max(LEAST_OF_TASK // 4, PER_TASK * 64 // max(64, model.value.words.shape[2]))
+    tasks = max(-(-total // most), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_OF_TASK)))
+    coded = classes.select("class", "h", "g", "embedding").repartition(tasks, "class").mapInArrow(encode, "class long, h long, g long, embedding array<double>, code binary, norm float, gap float")
+    index = staged(coded, "codes").repartition(tasks, "class")
     blocks = -(-count // QUERIES)
     in_block = lambda b: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
     # one block of queries at a time is at the driver and the tasks
-    found = reduce(DataFrame.unionByName, [_search(index, in_block(b), model, candidates) for b in range(blocks)])
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "class")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates).select("query_id", "class")
-    own = asked.withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64(F.lit(1), "embedding")).join(classes.select("class", "h", "g"), ["h", "g"]).select("query_id", "class")
-    pairs = found.unionByName(own).distinct().join(asked.withColumnRenamed("embedding", "q"), "query_id").join(classes.select("class", F.col("embedding").alias("v"), "h", "g"), "class")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, v = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in (3, 4))
-            score = (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
-            yield pa.record_batch([*(batch.column(c) for c in range(3)), pa.array(score)], ["query_id", "h", "g", "score"])
-
-    scored = pairs.select("query_id", "h", "g", "q", "v").mapInArrow(exact, "query_id long, h long, g long, score double")
-    every = scored.join(members.select("h", "g", "vec_id"), ["h", "g"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = reduce(DataFrame.unionByName, [_search(index, in_block(b), model, k, candidates) for b in range(blocks)])
+    # a result's class is among the first k + 1, one of which can be the query's own; ids with several vectors push it further back
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class", "h", "g")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1 + total - named).select("query_id", "h", "g", "score")
+    every = found.join(members.select("h", "g", "vec_id"), ["h", "g"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(index: DataFrame, asked: DataFrame, model, most: int) -> DataFrame:
-    """(query_id, class, near): the best ``most`` codes of each task for each query of a block, as a
-    table in the shared folder."""
+def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of one vector and many, each row for itself, so that they don't depend on the other rows."""
+    return (q * v).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
+
+
+def _search(index: DataFrame, asked: DataFrame, model, k: int, candidates: int) -> DataFrame:
+    """(query_id, class, h, g, score): of each task the vectors that can be among the ``k`` nearest of each query of a block, as a
+    table in the shared folder. These are the best k + 1, as one can be the query's own, and one more for each id that a task holds again."""
     table = asked.toArrow()
-    ids, vectors = table["query_id"].to_numpy(), unit(table["embedding"].combine_chunks()).astype(np.float32) if len(table) else None
+    ids, vectors = table["query_id"].to_numpy(), np.asarray(table["embedding"].combine_chunks().flatten(), np.float64).reshape(len(table), -1) if len(table) else None
     block = index.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,22 +186,40 @@ def _search(index: DataFrame, asked: DataFrame, model, most: int) -> DataFrame:
         held = [b for b in batches if b.num_rows]
         if not held or vectors is None:
             return
-        own = np.concatenate([b.column(0).to_numpy() for b in held])
-        codes = np.frombuffer(b"".join(x for b in held for x in b.column(1).to_pylist()), np.uint8).reshape(len(own), -1).astype(np.int64)
-        norms = np.concatenate([b.column(2).to_numpy() for b in held])
-        order = np.argsort(own)  # ties go to the smaller id
-        own, codes, norms = own[order], codes[order], norms[order]
-        keep = min(most, len(own))
+        own, h, g = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        order = np.lexsort((g, h, own))  # ties go to the smaller id
+        own, h, g = own[order], h[order], g[order]
+        whole = np.concatenate([np.asarray(b.column(3).flatten(), np.float64) for b in held]).reshape(len(own), -1)[order]
+        codes = np.frombuffer(b"".join(x for b in held for x in b.column(4).to_pylist()), np.uint8).reshape(len(own), -1)[order].astype(np.int64)
+        norms, gaps = (np.concatenate([b.column(c).to_numpy() for b in held])[order] for c in (5, 6))
+        held.clear()
+        units = (whole / np.linalg.norm(whole, axis=1, keepdims=True)).astype(np.float32)
+        wanted = min(k + 1 + len(own) - len(np.unique(own)), len(own))
+        first = min(max(candidates, wanted), len(own))
         for at in range(0, len(ids), AT_ONCE):
             some = vectors[at : at + AT_ONCE]
+            asks = (some / np.linalg.norm(some, axis=1, keepdims=True)).astype(np.float32)
             near = np.zeros((len(some), len(own)), np.float32)
             for m, book in enumerate(model.value.words):
-                near += (some @ book.T)[:, codes[:, m]]
-            near /= np.maximum(norms, 1e-12)
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-            yield pa.record_batch([pa.array(np.repeat(ids[at : at + AT_ONCE], keep)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel().astype(np.float64))], ["query_id", "class", "near"])
-
-    found = staged(index.mapInArrow(search, "query_id long, class long, near double"), "found")
+                near += (asks @ book.T)[:, codes[:, m]]
+            best = np.argpartition(-near / np.maximum(norms, 1e-12), first - 1, axis=1)[:, :first]
+            exact = np.einsum("qd,qcd->qc", asks, units[best])
+            bound = np.partition(exact, first - wanted, axis=1)[:, first - wanted] - SLACK - CODE_SLACK
+            near += gaps
+            rest = np.flatnonzero((near >= bound[:, None]).any(axis=0))
+            rows, scores, sizes = [], [], []
+            for vector, close in zip(some, asks @ units[rest].T):
+                least = np.partition(close, len(rest) - wanted)[len(rest) - wanted] - 2 * SLACK
+                mine = rest[close >= least]
+                score = _cosines(vector, whole[mine])
+                top = np.argsort(-score, kind="stable")[:wanted]
+                rows.append(mine[top])
+                scores.append(score[top])
+                sizes.append(len(top))
+            rows = np.concatenate(rows)
+            yield pa.record_batch([pa.array(np.repeat(ids[at : at + AT_ONCE], sizes)), pa.array(own[rows]), pa.array(h[rows]), pa.array(g[rows]), pa.array(np.concatenate(scores))], ["query_id", "class", "h", "g", "score"])
+
+    found = staged(index.mapInArrow(search, "query_id long, class long, h long, g long, score double"), "found")
     block.unpersist()
     return found
 

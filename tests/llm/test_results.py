@@ -306,6 +306,27 @@ def test_op6_recall_of_many_vectors_in_several_tasks(spark):
     assert hits >= 0.9 * 5 * 60
 
 
+def test_op6_finds_the_nearest_of_many_near_copies(spark):
+    """Groups of near copies far larger than what a code tells apart, one of them of one vector scaled, against brute force."""
+    from civitas.llm.neighbours import nearest
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(4, 32)), 1500, axis=0)
+    x[1500:] += 1e-3 * rng.normal(size=x[1500:].shape)
+    x[:1500] *= 1 + rng.permutation(1500)[:, None]
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    found = defaultdict(list)
+    for r in nearest(rows, rows.where("vec_id % 200 = 0")).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    assert len(found) == 30
+    norm = np.sqrt((x * x).sum(1))
+    for q, got in found.items():
+        near = (x * x[q]).sum(1) / (norm[q] * norm)
+        near[q] = -2
+        best = np.lexsort((np.arange(len(x)), -near))[:5]
+        assert got == [(v, near[v]) for v in best.tolist()]
+
+
 def test_op6_recall(spark, sf):
     table = pq.read_table(f"{sf}/embeddings.parquet").to_pylist()
     ids, x = [r["vec_id"] for r in table], np.array([r["embedding"] for r in table], float)
