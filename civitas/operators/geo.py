@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitas.operators.joins import levels
+from civitas.staging import staged
+
 
 @dataclass(frozen=True)
 class Bounds:
@@ -132,6 +135,19 @@ def covered(records: DataFrame, points: DataFrame, metres: float) -> DataFrame:
 
 
 def nearest_point(records: DataFrame, points: DataFrame, key: str, metres: float) -> DataFrame:
-    """(key, point_id, distance): of the points within ``metres`` of each record the nearest, ties to the smaller id; records without one have no row."""
-    best = covered(records.select(key, "lat", "lng"), points.select("point_id", "p_lat", "p_lng"), metres).groupBy(key).agg(F.min(F.struct("distance", "point_id")).alias("b"))
-    return best.select(key, "b.point_id", "b.distance")
+    """(key, point_id, distance): of the points within ``metres`` of each record the nearest, ties to the smaller id; records without one have no row.
+
+    Only different places meet, each with its smallest id. Where points are dense, narrower circles are searched first: what lies in one
+    is nearer than all that lies outside.
+    """
+    spots = points.where("p_lat IS NOT NULL AND p_lng IS NOT NULL").groupBy("p_lat", "p_lng").agg(F.min("point_id").alias("point_id"))
+    located = records.where("lat IS NOT NULL AND lng IS NOT NULL").select(key, "lat", "lng")
+    asked, side = located.select("lat", "lng").distinct(), metres / DEGREE
+    best = None
+    for level in reversed(range(levels(spots, F.struct(F.floor(F.col("p_lat") / side), F.floor(F.col("p_lng") * F.cos(F.radians("p_lat")) / side))))):
+        found = covered(asked, spots, metres / 4**level).groupBy("lat", "lng").agg(F.min(F.struct("distance", "point_id")).alias("b"))
+        if level:
+            found = staged(found, "nearest")
+            asked = staged(asked.join(found.select("lat", "lng"), ["lat", "lng"], "left_anti"), "nearest_rest")
+        best = found if best is None else best.unionByName(found)
+    return located.join(best, ["lat", "lng"]).select(key, "b.point_id", "b.distance")

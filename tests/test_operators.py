@@ -482,3 +482,36 @@ def test_names_without_city_words_and_with_letters_of_every_script(spark):
     expected = {"Kansas City Jazz": 1, "Jazz House Kansas City": 1, "jazz house kc": 1, "Café Zoë!": 2, "The Hall": 4}
     asked = spark.createDataFrame([(q,) for q in (*expected, "KC", "caf zo")], "query string")
     assert {r.query: r.place_id for r in joins.match_names(asked, places).collect()} == expected
+
+
+def test_nearest_of_dense_and_repeated_places_meets_brute_force(spark):
+    rng = np.random.default_rng(3)
+    spot = lambda n, width: np.round(rng.uniform(0, width, (n, 2)), 6) + [39.0, -94.0]
+    dense, wide = spot(1500, 0.002), spot(60, 0.05)
+    places = np.concatenate([dense, dense[:300], wide, wide])
+    asked = np.concatenate([spot(40, 0.002), spot(80, 0.05), dense[:5]])
+    rows = [(i, *map(float, x)) for i, x in enumerate(asked)] + [(1000, None, 1.0), (1001, 10.0, 10.0)]
+    points = [(i, *map(float, x), 10 * i) for i, x in enumerate(places)]
+    df, at = spark.createDataFrame(rows, "id long, lat double, lng double"), spark.createDataFrame(points, "p long, r_lat double, r_lng double, income long")
+    assert joins.levels(at.select("r_lat", "r_lng").distinct(), F.struct(F.floor(F.col("r_lat") / 0.01), F.floor(F.col("r_lng") / 0.01))) > 2
+    found = {r.id: (r.p, r.income, r.distance) for r in joins.nearest_in_box(df, at, "id", "p").collect()}
+    expected = {1000: (None, None, None), 1001: (None, None, None)}
+    for i, x in enumerate(asked):
+        gap = np.abs(places - x)
+        near = [(round(float(a + b), 9), p, 10 * p) for p, (a, b) in enumerate(gap.tolist()) if a < 0.01 and b < 0.01]
+        d, p, income = min(near, default=(None, None, None))
+        expected[i] = (p, income, d)
+    assert found == expected
+    at = at.select(F.col("p").alias("point_id"), F.col("r_lat").alias("p_lat"), F.col("r_lng").alias("p_lng"))
+    all_pairs = geo.covered(df, at, 1500.0).groupBy("id").agg(F.min(F.struct("distance", "point_id")).alias("b")).select("id", "b.point_id", "b.distance")
+    assert sorted(map(tuple, geo.nearest_point(df, at, "id", 1500.0).collect())) == sorted(map(tuple, all_pairs.collect()))
+
+
+def test_nearest_makes_no_pairs_of_repeated_places(spark):
+    """Two thousand rows and points of one place: pairs of rows would be four million."""
+    df = spark.range(2000).select("id", F.lit(39.0).alias("lat"), F.lit(-94.0).alias("lng"))
+    at = spark.range(2000).select(F.col("id").alias("p"), F.lit(39.001).alias("r_lat"), F.lit(-94.0).alias("r_lng"))
+    found = joins.nearest_in_box(df, at, "id", "p").agg(F.count("*"), F.min("p"), F.max("p")).first()
+    assert tuple(found) == (2000, 0, 0)
+    plan = joins.nearest_in_box(df, at, "id", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") >= 3  # points, rows and pairs are aggregated, and no pair is sorted
