@@ -515,3 +515,18 @@ def test_nearest_makes_no_pairs_of_repeated_places(spark):
     assert tuple(found) == (2000, 0, 0)
     plan = joins.nearest_in_box(df, at, "id", "p")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Aggregate") >= 3  # points, rows and pairs are aggregated, and no pair is sorted
+
+
+def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    both, fit = threading.Barrier(2, timeout=60), model.Pipeline.fit
+
+    def meet(self, rows):
+        both.wait()  # broken if the other fold's fit begins after this one
+        return fit(self, rows)
+
+    monkeypatch.setattr(model.Pipeline, "fit", meet)
+    rows = spark.range(60).select(F.col("id").alias("venue_id"), *((F.col("id") % 7).cast("double").alias(c) for c in model.FEATURES), (F.col("id") % 2).alias("label"))
+    trained, score = model.train(rows, n=2, rounds=1)
+    assert trained.stages[-1].getNumTrees == 1 and 0 <= score <= 1
