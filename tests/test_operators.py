@@ -530,3 +530,9 @@ def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
     rows = spark.range(60).select(F.col("id").alias("venue_id"), *((F.col("id") % 7).cast("double").alias(c) for c in model.FEATURES), (F.col("id") % 2).alias("label"))
     trained, score = model.train(rows, n=2, rounds=1)
     assert trained.stages[-1].getNumTrees == 1 and 0 <= score <= 1
+
+
+def test_names_are_matched_without_a_broadcast(spark):
+    names, places = spark.createDataFrame([("the blue room", 1)], "name string, place_id long"), spark.createDataFrame([("Blue Room",)], "query string")
+    plans = [joins.match_names(places, names), joins.containing(places.select(F.col("query").alias("small")), names.select(F.col("name").alias("large")))]
+    assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in plans)
