@@ -245,6 +245,19 @@ def test_op5_score_word_by_word(spark):
         assert math.isclose(r.score, expected, rel_tol=1e-5) and r.train_tokens == total
 
 
+def test_op5_asks_once_for_equal_tokens():
+    """Texts are cut, lower-cased and laid out as ``tokens_of`` does it, with each different word listed once."""
+    texts = ["  The room\tTHE\x0broom É\x85é\x1f ", "", None, "room", "\n", "the the"]
+    for column in (pa.array(texts), pa.array(["cut", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        words, at, sizes = lm.coded(column)
+        tokens = [lm.tokens_of(t) for t in texts]
+        assert [words[i] for i in at] == [w for t in tokens for w in t] and sizes.tolist() == [len(t) for t in tokens]
+        assert len(set(words) - {b""}) == sum(w != b"" for w in words)
+        before = lm.earlier(at, np.repeat(np.arange(len(sizes)), sizes))
+        assert before.tolist() == [t[:i].count(w) for t in tokens for i, w in enumerate(t)]
+        assert [x for piece in lm.pieces(column, 8) for x in piece.to_pylist()] == texts
+
+
 def test_op5_trains_on_every_position_once():
     sizes = np.array([1, 31, 32, 33, 200])
     seen, wanted, real = attention.training_windows(np.arange(sizes.sum()), sizes)
