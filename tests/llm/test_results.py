@@ -245,6 +245,23 @@ def test_op5_score_word_by_word(spark):
         assert math.isclose(r.score, expected, rel_tol=1e-5) and r.train_tokens == total
 
 
+def test_op5_spells_by_every_pair_of_ids(spark, monkeypatch):
+    """Pairs beyond those that every task holds count as much as these."""
+    rng = np.random.default_rng(5)
+    parts = ["zy", "xo", "mat", "kra", "plu", "vint", "sque", "mor"]
+    made = ["".join(rng.choice(parts, 4)) for _ in range(400)] + ["longer" * 9]
+    learn = spark.createDataFrame([(i, " ".join(made[i : i + 20])) for i in range(0, 300, 10)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(made[i : i + 30] + made[:2]), i >= 300) for i in range(200, 400, 10)] + [(1, made[-1], True), (2, "", True), (3, None, True)], "doc_id long, text string, held_out boolean")
+    scores = lambda: {r.doc_id: r for r in lm.score(docs, learn).collect()}
+    whole = scores()
+    for most in (0, 40):
+        monkeypatch.setattr(lm, "MOST_PAIRS", most)
+        some = scores()
+        assert len(some) == 23
+        for i, r in whole.items():
+            assert some[i][:5] == r[:5] and math.isclose(some[i].base_score, r.base_score, rel_tol=1e-9) and math.isclose(some[i].score, r.score, rel_tol=1e-6)
+
+
 def test_op5_asks_once_for_equal_tokens():
     """Texts are cut, lower-cased and laid out as ``tokens_of`` does it, with each different word listed once."""
     texts = ["  The room\tTHE\x0broom É\x85é\x1f ", "", None, "room", "\n", "the the"]
