@@ -536,3 +536,20 @@ def test_names_are_matched_without_a_broadcast(spark):
     names, places = spark.createDataFrame([("the blue room", 1)], "name string, place_id long"), spark.createDataFrame([("Blue Room",)], "query string")
     plans = [joins.match_names(places, names), joins.containing(places.select(F.col("query").alias("small")), names.select(F.col("name").alias("large")))]
     assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+
+
+def test_a_square_of_pairs_is_dealt_over_tasks(spark, monkeypatch):
+    """All rows of both sides lie within a cell: no task meets more than its share, and every pair is met once."""
+    left = spark.range(2003).select(F.col("id").alias("a"), F.when(F.col("id") < 2000, (F.col("id") % 100).cast("double")).alias("at"))
+    right = spark.range(150).select(F.col("id").alias("b"), F.col("id").cast("double").alias("r_at"))
+    monkeypatch.setattr(joins, "PER_TASK", 30_000)
+    monkeypatch.setattr(joins, "PER_KEY", 3_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for sides that are too large
+    try:
+        found = joins.band_join(left, right, [("at", "r_at", 1000.0)], deal=["a"])
+        rows = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("b").alias("n"), F.count("*").alias("all"), F.count_distinct("a", "b").alias("pairs")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(r.n for r in rows) == sum(r.pairs for r in rows) == 2000 * 150 and sum(r["all"] for r in rows) == 2000 * 150 + 3
+    assert max(r.n for r in rows) < 75_000 and len([r for r in rows if r.n]) >= 5
